@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profile_queries",)
+MODULES = ("profile_queries", "insight_queries", "model_queries")
 
 
 def load() -> None:

@@ -172,3 +172,6 @@ def erfc_sql(z: str) -> str:
 
 def two_sided_sql(z: str) -> str:
     return erfc_sql(f"(abs({z}) / sqrt(2.0::DOUBLE))")
+
+
+MEASURES_SQL = "family IN ('numeric','boolean') AND NOT is_identifier AND uniq > 1"

@@ -1,7 +1,8 @@
-"""Column expressions for names, missing tokens, numbers, dates and units.
+"""Expressions for names, missing tokens, numbers, dates and units.
 
-Every function takes and returns a Spark ``Column``; there is no Python UDF, so
-all of them stay inside whole-stage code generation.
+There is no Python UDF: everything stays inside whole-stage code generation.  The value
+rules that are applied to every cell are written once as SQL text over a column
+reference (``*_sql``), so one parsed expression per column replaces hundreds of calls.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from . import fixed_values as fv
 # All characters that count as blank when text is stripped or split into words.
 BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 BLANK_CLASS = "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in BLANKS) + "]"
+BLANK_LITERAL = "'" + "".join(f"\\u{ord(c):04x}" for c in BLANKS) + "'"
 
 NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -39,46 +41,80 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def ref(name: str) -> str:
+    """A column's exact name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def clean_text(c: Column) -> Column:
+def strip_sql(x: str) -> str:
+    return f"btrim({x}, {BLANK_LITERAL})"
+
+
+def clean_text_sql(x: str) -> str:
     """Trim text and turn missing tokens into null."""
-    t = strip(c)
-    longest = max(len(x) for x in fv.MISSING_TOKENS)
-    missing = (F.octet_length(t) <= longest) & F.lower(t).isin(*fv.MISSING_TOKENS)
-    return F.when(~missing, t)
+    t = strip_sql(x)
+    longest = max(len(token) for token in fv.MISSING_TOKENS)
+    tokens = ", ".join(literal(token) for token in fv.MISSING_TOKENS)
+    return f"CASE WHEN octet_length({t}) > {longest} OR lower({t}) NOT IN ({tokens}) THEN {t} END"
 
 
-def to_number(c: Column) -> Column:
-    """Text to double, null where the text is not a plain decimal number."""
-    t = strip(c)
-    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+def number_sql(x: str) -> str:
+    """Trimmed text to double, null where the text is not a plain decimal number."""
+    return f"CASE WHEN {x} RLIKE {literal(NUMBER_PATTERN)} THEN try_cast({x} AS DOUBLE) END"
 
 
-def to_datetime(c: Column) -> Column:
-    """Text to a zone-less timestamp, null where no accepted format fits.
+def datetime_sql(x: str) -> str:
+    """Trimmed text to a zone-less timestamp, null where no accepted format fits.
 
     Length and one combined shape test come first, so ordinary text costs at most one
     pattern match; then the value's own shape picks a single parser.
     """
-    t = strip(c)
-    parsed = F.lit(None).cast("timestamp_ntz")
-    for shape, fmt in reversed(DATE_FORMATS):
-        parsed = F.when(
-            t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz")
-        ).otherwise(parsed)
-    length = F.octet_length(t)
     any_shape = "|".join(shape for shape, _ in DATE_FORMATS)
-    return F.when((length >= 4) & (length <= 40) & t.rlike(any_shape), parsed)
+    whens = " ".join(
+        f"WHEN {x} RLIKE {literal(shape)} THEN try_to_timestamp({x}, {literal(fmt)})"
+        for shape, fmt in DATE_FORMATS
+    )
+    return (
+        f"CAST(CASE WHEN octet_length({x}) BETWEEN 4 AND 40 AND {x} RLIKE {literal(any_shape)} "
+        f"THEN CASE {whens} END END AS TIMESTAMP_NTZ)"
+    )
 
 
-def word_count(c: Column) -> Column:
-    """Number of blank-separated words; null and blank text have none."""
-    t = strip(c)
-    words = F.when(t.rlike(BLANK_CLASS), F.size(F.split(t, BLANK_CLASS + "+"))).otherwise(F.lit(1))
-    return F.when(c.isNull() | (F.octet_length(t) == 0), F.lit(0)).otherwise(words)
+def words_sql(x: str) -> str:
+    """Number of blank-separated words of trimmed text; null and empty text have none."""
+    blank = literal(BLANK_CLASS)
+    return (
+        f"CASE WHEN {x} IS NULL OR {x} = '' THEN 0 WHEN {x} RLIKE {blank} "
+        f"THEN size(split({x}, {literal(BLANK_CLASS + '+')})) ELSE 1 END"
+    )
+
+
+def digest_sql(x: str) -> str:
+    """Grouping key for text: the text itself when short, its 128-bit MD5 when long."""
+    return f"CASE WHEN octet_length({x}) > 32 THEN md5({x}) ELSE {x} END"
+
+
+def to_number(name: str) -> Column:
+    """Number of a raw text column."""
+    return F.expr(number_sql(strip_sql(ref(name))))
+
+
+def to_datetime(name: str) -> Column:
+    """Timestamp of a raw text column."""
+    return F.expr(datetime_sql(strip_sql(ref(name))))
+
+
+def word_count(name: str) -> Column:
+    """Words of a raw text column."""
+    return F.expr(words_sql(strip_sql(ref(name))))
 
 
 def safe_ratio(n: Column, d: Column) -> Column:
@@ -86,11 +122,6 @@ def safe_ratio(n: Column, d: Column) -> Column:
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
 
 
-def digest(c: Column) -> Column:
-    """Grouping key for text: the text itself when short, its 128-bit MD5 when long."""
-    return F.when(F.octet_length(c) > 32, F.md5(c)).otherwise(c)
-
-
 # -- column names ---------------------------------------------------------------
 
 
@@ -135,11 +166,11 @@ def unit_name(c: Column, pattern: str) -> Column:
 
 
 def normalise_unit(unit: Column) -> Column:
+    """Lower-case unit with separators and short forms resolved; plural by default."""
     compact = F.regexp_replace(F.lower(strip(unit)), r"[._-]+", " ")
-    named = F.when(compact.endswith("s"), compact).otherwise(F.concat(compact, F.lit("s")))
-    for short, full in fv.UNIT_ALIASES.items():
-        named = F.when(compact == short, F.lit(full)).otherwise(named)
-    return F.when(unit.isNotNull(), named)
+    pairs = [F.lit(x) for pair in fv.UNIT_ALIASES.items() for x in pair]
+    plural = F.when(compact.endswith("s"), compact).otherwise(F.concat(compact, F.lit("s")))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), compact), plural)
 
 
 def comma_items(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
-from ..functions.text import clean_text, col, strip, to_datetime, to_number
+from ..functions.text import clean_text_sql, col, number_sql, ref, strip, to_datetime
 
 SUPPORTED = (T.NumericType, T.BooleanType, T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType)
 
@@ -38,16 +38,16 @@ def check_headers(names: list[str], what: str = "Column names must be unique aft
     return trimmed
 
 
-def clean_value(c: Column, dtype: T.DataType) -> Column:
+def clean_value(name: str, dtype: T.DataType) -> Column:
     """Missing tokens, NaN and infinities become null; text is trimmed."""
     if isinstance(dtype, T.StringType):
-        return clean_text(c)
+        return F.expr(clean_text_sql(ref(name)))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        infinite = F.abs(c) == F.lit(float("inf"))
-        return F.when(~(F.isnan(c) | infinite), c)
+        x = ref(name)
+        return F.expr(f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('infinity') THEN {x} END")
     if isinstance(dtype, T.DecimalType):
-        return c.cast("double")
-    return c
+        return col(name).cast("double")
+    return col(name)
 
 
 def sanitize(df: DataFrame) -> DataFrame:
@@ -61,41 +61,41 @@ def sanitize(df: DataFrame) -> DataFrame:
     names = check_headers(df.columns)
     return df.select(
         *[
-            clean_value(col(f.name), f.dataType).alias(new)
+            clean_value(f.name, f.dataType).alias(new)
             for f, new in zip(df.schema.fields, names, strict=True)
         ]
     )
 
 
-def coerce_numeric(c: Column, dtype: T.DataType) -> Column:
+def coerce_numeric(name: str, dtype: T.DataType) -> Column:
     """Cleaned double of any column; text that is no number becomes null."""
     if isinstance(dtype, T.StringType):
-        return to_number(clean_text(c))
+        return F.expr(number_sql(f"({clean_text_sql(ref(name))})"))
     if isinstance(dtype, T.BooleanType):
-        return c.cast("int").cast("double")
+        return col(name).cast("int").cast("double")
     if family(dtype) == "datetime":
         return F.lit(None).cast("double")
-    return clean_value(c, dtype).cast("double")
+    return clean_value(name, dtype).cast("double")
 
 
-def coerce_datetime(c: Column, dtype: T.DataType) -> Column:
+def coerce_datetime(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
-        return to_datetime(c)
+        return to_datetime(name)
     if family(dtype) == "datetime":
-        return c.cast("timestamp_ntz")
+        return col(name).cast("timestamp_ntz")
     return F.lit(None).cast("timestamp_ntz")
 
 
 def target_rows(df: DataFrame, target: str) -> DataFrame:
     """Rows whose cleaned target is present, with the cleaned target in place."""
-    cleaned = clean_value(col(target), df.schema[target].dataType)
+    cleaned = clean_value(target, df.schema[target].dataType)
     return df.withColumn(target, cleaned).where(col(target).isNotNull())
 
 
 def usable_target_rows(df: DataFrame, target: str, min_rows: int = fv.MIN_TARGET_ROWS) -> tuple[DataFrame, int]:
     """``target_rows`` plus the number of dropped rows; too few rows are an error."""
     kept = target_rows(df, target)
-    cleaned = clean_value(col(target), df.schema[target].dataType)
+    cleaned = clean_value(target, df.schema[target].dataType)
     total, usable = df.select(cleaned.alias("t")).agg(F.count(F.lit(1)), F.count("t")).first()
     if usable < min_rows:
         raise ValueError(
@@ -114,7 +114,7 @@ def normalise_target(df: DataFrame, target: str, problem_type: str, all_integral
     dtype = df.schema[target].dataType
     rows = target_rows(df, target)
     if problem_type == "regression":
-        rows = rows.withColumn(target, coerce_numeric(col(target), dtype))
+        rows = rows.withColumn(target, coerce_numeric(target, dtype))
         return rows.where(col(target).isNotNull())
     if family(dtype) == "numeric":
         kind = "bigint" if all_integral else "double"

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import col, digest, safe_ratio, to_datetime, to_number, word_count
+from ..functions.text import col, datetime_sql, digest_sql, literal, number_sql, ref, safe_ratio, words_sql
 from ..session import small_table
 from .clean import family
 
@@ -38,10 +38,9 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def integer_like(c: Column) -> Column:
+def integer_like_sql(x: str) -> str:
     """Close to a whole number: absolute 1e-9 plus relative 1e-5."""
-    whole = F.rint(c)
-    return F.abs(c - whole) <= F.lit(1e-9) + F.lit(1e-5) * F.abs(whole)
+    return f"(abs({x} - rint({x})) <= 1e-9D + 1e-5D * abs(rint({x})))"
 
 
 def _column_branch(df: DataFrame, position: int, f: T.StructField) -> DataFrame:
@@ -51,71 +50,58 @@ def _column_branch(df: DataFrame, position: int, f: T.StructField) -> DataFrame:
     distinct value, weighted by their count.  Only text longer than a digest is measured
     row by row, because its key no longer holds the text.
     """
-    c, kind = col(f.name), family(f.dataType)
-    text = isinstance(f.dataType, T.StringType)
-    long_text = F.octet_length(c) > 32
-    source = [digest(c).alias("k")] if text else [c.alias("k")]
-    sums = [F.count(F.lit(1)).alias("n")]
-    if text:
-        source += [
-            F.when(long_text, word_count(c)).cast("bigint").alias("w"),
-            F.when(long_text, F.length(c)).cast("bigint").alias("l"),
-            F.when(long_text, to_number(c)).alias("x"),
-            F.when(long_text, to_datetime(c)).alias("t"),
-        ]
-        sums += [
-            F.sum("w").alias("w"), F.sum("l").alias("l"), F.count("x").alias("xn"),
-            F.count("t").alias("tn"), F.bool_and(integer_like(F.col("x"))).alias("xi"),
-            F.min("x").alias("xlow"), F.max("x").alias("xhigh"),
-        ]
-    groups = df.select(*source).groupBy("k").agg(*sums)
-    k, n = F.col("k"), F.col("n")
-    present = k.isNotNull()
-    none = {t: F.lit(None).cast(t) for t in ("bigint", "double")}
-    if text:
-        short = F.col("w").isNull()
-        groups = groups.withColumn("num", F.when(short, to_number(k))).withColumn(
-            "day", F.when(short, to_datetime(k))
+    x, kind = ref(f.name), family(f.dataType)
+    if isinstance(f.dataType, T.StringType):
+        long_text = f"octet_length({x}) > 32"
+        groups = (
+            df.selectExpr(
+                f"{digest_sql(x)} AS k",
+                f"CASE WHEN {long_text} THEN {words_sql(x)} END AS w",
+                f"CASE WHEN {long_text} THEN length({x}) END AS l",
+                f"CASE WHEN {long_text} THEN {number_sql(x)} END AS x",
+                f"CASE WHEN {long_text} THEN {datetime_sql(x)} END AS t",
+            )
+            .groupBy("k")
+            .agg(
+                F.expr("count(1) AS n"), F.expr("sum(w) AS w"), F.expr("sum(l) AS l"),
+                F.expr("count(x) AS xn"), F.expr("count(t) AS tn"),
+                F.expr(f"bool_and({integer_like_sql('x')}) AS xi"),
+                F.expr("min(x) AS xlow"), F.expr("max(x) AS xhigh"),
+            )
+            .selectExpr(
+                "*",
+                f"CASE WHEN w IS NULL THEN {number_sql('k')} END AS num",
+                f"CASE WHEN w IS NULL THEN {datetime_sql('k')} END AS day",
+            )
         )
-        number_rows = F.sum(F.when(F.col("num").isNotNull(), n).otherwise(F.col("xn")))
-        measures = {
-            "numeric_ok": number_rows,
-            "date_ok": F.sum(F.when(F.col("day").isNotNull(), n).otherwise(F.col("tn"))),
-            "words": F.coalesce(F.sum(F.when(present, F.coalesce("w", n * word_count(k)))), F.lit(0)),
-            "chars": F.coalesce(F.sum(F.when(present, F.coalesce("l", n * F.length(k)))), F.lit(0)),
-            "integer_like": F.coalesce(
-                F.bool_and(F.coalesce(integer_like(F.col("num")), F.col("xi")))
-                & (number_rows == F.sum(F.when(present, n))),
-                F.lit(False),
-            ),
-            "min_value": F.min(F.coalesce("num", "xlow")),
-            "max_value": F.max(F.coalesce("num", "xhigh")),
-        }
+        numbers = "coalesce(sum(CASE WHEN num IS NOT NULL THEN n ELSE xn END), 0)"
+        measures = [
+            f"{numbers} AS numeric_ok",
+            "coalesce(sum(CASE WHEN day IS NOT NULL THEN n ELSE tn END), 0) AS date_ok",
+            f"coalesce(sum(CASE WHEN k IS NOT NULL THEN coalesce(w, n * {words_sql('k')}) END), 0) AS words",
+            "coalesce(sum(CASE WHEN k IS NOT NULL THEN coalesce(l, n * length(k)) END), 0) AS chars",
+            f"coalesce(bool_and(coalesce({integer_like_sql('num')}, xi)) AND {numbers} = sum(CASE WHEN k IS NOT NULL THEN n END), false) AS integer_like",
+            "min(coalesce(num, xlow)) AS min_value",
+            "max(coalesce(num, xhigh)) AS max_value",
+        ]
     else:
-        x = k.cast("double") if kind == "numeric" else None
-        measures = {
-            "numeric_ok": none["bigint"], "date_ok": none["bigint"],
-            "words": none["bigint"], "chars": none["bigint"],
-            "integer_like": (
-                F.coalesce(F.bool_and(integer_like(x)), F.lit(False))
-                if x is not None
-                else F.lit(kind == "boolean")
-            ),
-            "min_value": F.min(x) if x is not None else none["double"],
-            "max_value": F.max(x) if x is not None else none["double"],
-        }
-    return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.when(present, n)), F.lit(0)).alias("non_null"),
-        F.count("k").alias("distinct"),
-        F.coalesce(F.min(F.when(present, n)), F.lit(0)).alias("min_count"),
-        *[e.alias(m) for m, e in measures.items()],
-    ).select(
-        F.lit(position).alias("position"),
-        F.lit(f.name).alias("column"),
-        F.lit(f.dataType.simpleString()).alias("dtype"),
-        F.lit(kind).alias("family"),
-        "*",
+        groups = df.selectExpr(f"{x} AS k").groupBy("k").agg(F.expr("count(1) AS n"))
+        number = kind == "numeric"
+        measures = [
+            *[f"CAST(NULL AS BIGINT) AS {m}" for m in ("numeric_ok", "date_ok", "words", "chars")],
+            f"coalesce(bool_and({integer_like_sql('double(k)')}), false) AS integer_like" if number else f"{str(kind == 'boolean').lower()} AS integer_like",
+            "min(double(k)) AS min_value" if number else "CAST(NULL AS DOUBLE) AS min_value",
+            "max(double(k)) AS max_value" if number else "CAST(NULL AS DOUBLE) AS max_value",
+        ]
+    counts = [
+        "coalesce(sum(n), 0) AS rows",
+        "coalesce(sum(CASE WHEN k IS NOT NULL THEN n END), 0) AS non_null",
+        "count(k) AS distinct",
+        "coalesce(min(CASE WHEN k IS NOT NULL THEN n END), 0) AS min_count",
+    ]
+    return groups.agg(*[F.expr(e) for e in counts + measures]).selectExpr(
+        f"{position} AS position", f"{literal(f.name)} AS column",
+        f"{literal(f.dataType.simpleString())} AS dtype", f"{literal(kind)} AS family", "*",
     )
 
 
@@ -129,11 +115,11 @@ def grouped_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def value_counts(df: DataFrame, name: str, keyed: bool = False) -> DataFrame:
     """``(value, n)`` of the non-missing values of one column, in the column's own type."""
-    value = col(name)
+    value = ref(name)
     if keyed and isinstance(df.schema[name].dataType, T.StringType):
-        value = digest(value)
+        value = digest_sql(value)
     return (
-        df.select(value.alias("value"))
+        df.selectExpr(f"{value} AS value")
         .where(F.col("value").isNotNull())
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -184,8 +170,8 @@ def resolve_text(df: DataFrame, best: DataFrame, names: list[str]) -> DataFrame:
             long_keys.setdefault(row["column"], []).append(row["key"])
     texts: dict[tuple[str, str], str] = {}
     lookups = [
-        df.where(digest(col(name)).isin(*keys))
-        .groupBy(digest(col(name)).alias("key"))
+        df.where(F.expr(digest_sql(ref(name))).isin(*keys))
+        .groupBy(F.expr(digest_sql(ref(name))).alias("key"))
         .agg(F.min(col(name)).alias("text"))
         .select(F.lit(name).alias("column"), "key", "text")
         for name, keys in long_keys.items()
