@@ -184,7 +184,7 @@ SELECT 'types' AS "column", value, row_count, round(100.0 * row_count / (SELECT
   (SELECT count(*) FROM c) AS unique_tokens, (SELECT round(100.0 * avg((contains(types, ','))::INT), 1) FROM t) AS delimiter_coverage_pct
 FROM c ORDER BY row_count DESC, value LIMIT 8""")
 def multi_value(spark, sf):
-    return insights.multi_values(*_roles(v.multi_order(spark, sf)))
+    return insights.multi_values(*_roles(v.multi_order(spark, sf).persist()))
 
 
 @query("unit_summary", f"""WITH t AS ({v.UNIT_PART_SQL}), u AS (SELECT CAST(regexp_extract(size_txt, '^([0-9]+) ([A-Za-z]+)$', 1) AS DOUBLE) AS x,

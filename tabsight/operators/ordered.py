@@ -8,93 +8,76 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..session import small_table
+from .profile import union_all
 
-# Largest number of rows one task may have to hold for an exact order statistic.
-ROWS_PER_TASK = 1_000_000
-SKETCH_ACCURACY = 10_000
-MEMORY_AND_DISK = "MEMORY_AND_DISK"
+# Most distinct values one task may have to hold for an exact order statistic.
+VALUES_PER_TASK = 1_000_000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict, fractions: list[float], limit: int = ROWS_PER_TASK
+    df: DataFrame, columns: dict, fractions: list[float], values_per_task: int = VALUES_PER_TASK
 ) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of many expressions in few scans.
+    """Exact linearly interpolated quantiles of many expressions.
 
-    ``columns`` maps a label to a double Column.  Up to ``limit`` rows the built-in exact
-    ``percentile`` does it in one aggregate.  Beyond that its per-column value map would
-    grow with the data, so a bounded sketch brackets every wanted rank, the next scan
-    counts what lies below and inside the bracket, and brackets shrink (each pass about
-    10,000-fold) until the remaining rows fit ``limit``; only they are aggregated exactly.
+    ``columns`` maps a label to a double Column.  Rows collapse to value counts, running
+    totals over the sorted counts locate every wanted rank, and only the rows that hold a
+    wanted rank (at most two per fraction and column) reach the driver.
     """
     labels = list(columns)
     if not labels:
         return {}
-    frame = df.select(*[columns[k].alias(f"q{i}") for i, k in enumerate(labels)])
     names = [f"q{i}" for i in range(len(labels))]
-    counts = frame.agg(*[F.count(n).alias(n) for n in names]).first()
-    small = [n for n in names if counts[n] <= limit]
+    frame = df.select(*[columns[k].alias(n) for n, k in zip(names, labels, strict=True)])
+    counts = union_all(
+        [
+            frame.where(F.col(n).isNotNull()).groupBy(F.col(n).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+            .select(F.lit(n).alias("name"), "x", "n")
+            for n in names
+        ]
+    ).persist()
+    sizes = {
+        r["name"]: r for r in counts.groupBy("name").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values")).collect()
+    }
+    wanted = {}
+    for n, size in sizes.items():
+        places = [q * (size["rows"] - 1) for q in fractions]
+        wanted[n] = sorted({int(p) for p in places} | {min(int(p) + 1, size["rows"] - 1) for p in places})
+    if not wanted:
+        counts.unpersist()
+        return {k: [None] * len(fractions) for k in labels}
+    ranks = F.create_map(*[x for n, w in wanted.items() for x in (F.lit(n), F.array(*[F.lit(i) for i in w]))])
+    totals = running_totals(
+        counts, "x", ["n"], group=["name"], values_per_task=values_per_task,
+        size=sum(r["values"] for r in sizes.values()),
+    )
+    # A plain comparison per wanted rank discards almost every row before the lookup.
+    holds = " OR ".join(
+        f"(name = '{n}' AND (" + " OR ".join(f"({i} < cum_n AND {i} >= cum_n - n)" for i in w) + "))"
+        for n, w in wanted.items()
+    )
+    first = F.col("cum_n") - F.col("n")
+    hits = F.filter(F.try_element_at(ranks, F.col("name")), lambda i: (i >= first) & (i < F.col("cum_n")))
+    found = totals.where(holds).select("name", "x", F.explode(hits).alias("rank")).collect()
+    counts.unpersist()
+    at = {(r["name"], r["rank"]): r["x"] for r in found}
     out: dict[str, list[float | None]] = {}
-    if small:
-        row = frame.agg(
-            *[F.percentile(n, F.array(*[F.lit(float(q)) for q in fractions])).alias(n) for n in small]
-        ).first()
-        for n in small:
-            values = row[n]
-            out[labels[names.index(n)]] = list(values) if values else [None] * len(fractions)
-    for n in names:
-        if n not in small:
-            column = frame.select(F.col(n).alias("x")).where(F.col("x").isNotNull())
-            out[labels[names.index(n)]] = [
-                _interpolate(column, q * (counts[n] - 1), limit) for q in fractions
-            ]
-    return out
-
-
-def _interpolate(column: DataFrame, rank: float, limit: int) -> float:
-    low = int(rank)
-    below = _value_at(column, low, limit)
-    if rank == low:
-        return below
-    above = _value_at(column, low + 1, limit)
-    return below + (rank - low) * (above - below)
-
-
-def _value_at(column: DataFrame, rank: int, limit: int) -> float:
-    """The value at a zero-based rank, found by shrinking a bracket around it."""
-    inside, skipped = column, 0
-    while True:
-        low, high, total = inside.agg(F.min("x"), F.max("x"), F.count("x")).first()
-        if low == high:
-            return low
-        wanted = rank - skipped
-        if total <= limit:
-            grouped = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-            share = [wanted / (total - 1)] if total > 1 else [0.5]
-            return grouped.agg(F.percentile("x", F.array(F.lit(share[0])), F.col("n"))).first()[0][0]
-        margin = 2.0 / SKETCH_ACCURACY
-        share = wanted / total
-        ends = inside.agg(
-            F.percentile_approx("x", [max(share - margin, 0.0), min(share + margin, 1.0)], SKETCH_ACCURACY)
-        ).first()[0]
-        lower, upper = ends
-        under, within = inside.agg(
-            F.count_if(F.col("x") < lower), F.count_if(F.col("x").between(lower, upper))
-        ).first()
-        if under <= wanted < under + within and within < total:
-            inside, skipped = inside.where(F.col("x").between(lower, upper)), skipped + under
+    for label, n in zip(labels, names, strict=True):
+        if n not in sizes:
+            out[label] = [None] * len(fractions)
             continue
-        # The bracket did not shrink (few distinct values) or missed: split on its middle.
-        middle = lower if lower < high else low
-        at_most = inside.where(F.col("x") <= middle).count()
-        if wanted < at_most:
-            inside = inside.where(F.col("x") <= middle)
-        else:
-            inside, skipped = inside.where(F.col("x") > middle), skipped + at_most
+        values = []
+        for q in fractions:
+            place = q * (sizes[n]["rows"] - 1)
+            low = at[n, int(place)]
+            high = at[n, min(int(place) + 1, sizes[n]["rows"] - 1)]
+            values.append(low + (place - int(place)) * (high - low))
+        out[label] = values
+    return out
 
 
 def running_totals(
     df: DataFrame, order: str, sums: list[str], group: list[str] | None = None,
-    descending: bool = False, rows_per_task: int = ROWS_PER_TASK,
+    descending: bool = False, values_per_task: int = VALUES_PER_TASK, size: int | None = None,
 ) -> DataFrame:
     """Running sums ``cum_<name>`` over rows already collapsed to distinct ``order`` values.
 
@@ -104,8 +87,8 @@ def running_totals(
     are plain value bounds, so a recomputed partition always lands in the same range.
     """
     group = group or []
-    total = df.count()
-    ranges = -(-total // rows_per_task)
+    total = df.count() if size is None else size
+    ranges = -(-total // values_per_task)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     if ranges <= 1:
         w = Window.partitionBy(*([col(g) for g in group] or [F.lit(1)])).orderBy(direction(order))
@@ -131,7 +114,7 @@ def running_totals(
     )
 
 
-def binary_curve(scored: DataFrame, score: str, positive: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def binary_curve(scored: DataFrame, score: str, positive: str, values_per_task: int = VALUES_PER_TASK) -> DataFrame:
     """Distinct scores, best first, with true and false positives at each threshold."""
     points = (
         scored.where(F.col(score).isNotNull())
@@ -142,7 +125,7 @@ def binary_curve(scored: DataFrame, score: str, positive: str, rows_per_task: in
         )
         .persist()
     )
-    return running_totals(points, "score", ["pos", "neg"], descending=True, rows_per_task=rows_per_task)
+    return running_totals(points, "score", ["pos", "neg"], descending=True, values_per_task=values_per_task)
 
 
 def curve_areas(curve: DataFrame) -> DataFrame:

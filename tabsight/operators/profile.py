@@ -190,42 +190,36 @@ def resolve_text(df: DataFrame, best: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def gap_facts(df: DataFrame, names: list[str]) -> DataFrame:
+def gap_facts(df: DataFrame, integral: dict[str, bool]) -> DataFrame:
     """How many neighbouring sorted values differ by one, without sorting.
 
-    Values are grouped into half-unit cells.  Two neighbours that differ by one lie one
-    to three cells apart, so every cell meets its successors in a second grouping; both
-    groupings are spread by value and pre-aggregated, none needs a column in one task.
+    Each value meets its possible successors in a grouping by cell.  Whole numbers use
+    the number itself as cell and look one ahead.  Other numbers use half-unit cells: two
+    neighbours that differ by one lie one to three cells apart.  Both groupings are spread
+    by value and pre-aggregated; no column has to fit in one task.
     """
     parts = []
-    for name in names:
-        cells = (
-            df.select(col(name).cast("double").alias("x"))
-            .where(F.col("x").isNotNull())
-            .groupBy(F.floor(F.col("x") * 2).alias("cell"))
-            .agg(F.min("x").alias("low"), F.max("x").alias("high"))
-        )
-        offers = cells.select(
-            F.inline(
-                F.array(
-                    F.struct(F.col("cell").alias("cell"), F.lit(0).alias("step"), F.col("high").alias("x")),
-                    *[
-                        F.struct((F.col("cell") - s).alias("cell"), F.lit(s).alias("step"), F.col("low").alias("x"))
-                        for s in (1, 2, 3)
-                    ],
-                )
+    for name, whole in integral.items():
+        cell = "rint(x)" if whole else "floor(x * 2)"
+        steps = (1,) if whole else (1, 2, 3)
+        ahead = ", ".join(f"named_struct('cell', cell - {s}, 'step', {s}, 'x', low)" for s in steps)
+        pairs = (
+            df.selectExpr(f"double({ref(name)}) AS x")
+            .where("x IS NOT NULL")
+            .groupBy(F.expr(f"{cell} AS cell"))
+            .agg(F.expr("min(x) AS low"), F.expr("max(x) AS high"))
+            .selectExpr(f"inline(array(named_struct('cell', cell, 'step', 0, 'x', high), {ahead}))")
+            .groupBy("cell")
+            .agg(
+                F.expr("max(CASE WHEN step = 0 THEN x END) AS here"),
+                F.expr("min(CASE WHEN step > 0 THEN x END) AS next"),
             )
         )
-        pairs = offers.groupBy("cell").agg(
-            F.max(F.when(F.col("step") == 0, F.col("x"))).alias("here"),
-            F.min(F.when(F.col("step") > 0, F.col("x"))).alias("next"),
-        )
-        gap = F.col("next") - F.col("here")
         parts.append(
             pairs.agg(
-                F.count_if(gap == 1).alias("unit_gaps"),
-                F.count_if(F.abs(gap - 1) <= 1e-8 + 1e-5).alias("close_gaps"),
-            ).select(F.lit(name).alias("column"), "unit_gaps", "close_gaps")
+                F.expr("count_if(next - here = 1) AS unit_gaps"),
+                F.expr("count_if(abs(next - here - 1) <= 1e-8D + 1e-5D) AS close_gaps"),
+            ).selectExpr(f"{literal(name)} AS column", "unit_gaps", "close_gaps")
         )
     return union_all(parts)
 
@@ -235,11 +229,11 @@ def column_facts(df: DataFrame) -> DataFrame:
     measured = []
     for start in range(0, len(df.columns), COLUMNS_PER_JOB):
         measured += grouped_facts(df, df.columns[start : start + COLUMNS_PER_JOB]).collect()
-    sequential = [
-        r["column"]
+    sequential = {
+        r["column"]: r["integer_like"] and r["min_value"] == int(r["min_value"])
         for r in measured
         if r["family"] == "numeric" and r["distinct"] > 25 and r["distinct"] > 0.98 * r["non_null"]
-    ]
+    }
     gaps = {r["column"]: r for r in gap_facts(df, sequential).collect()} if sequential else {}
     rows = []
     for r in measured:

@@ -44,6 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Evaluate a table bounded by the number of columns or levels once and keep the rows."""
+    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+
+
 def small_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A driver-side table of already aggregated rows (per column, pair or level)."""
     return spark.createDataFrame([tuple(r) for r in rows], schema)
