@@ -11,7 +11,7 @@ from ..operators.ordered import exact_quantiles
 from ..operators.profile import column_facts
 from ..operators.roles import with_roles
 from ..plans import evidence, insight_run, model_run, score_run
-from ..session import small_table
+from ..session import beside, small_table
 from . import views as v
 from .insight_queries import _rounded
 from .oracle import camel_tokens, roles_sql, scores_sql
@@ -190,9 +190,9 @@ def impute_median_mode(spark, sf):
     raw = df.select("c_custkey", coerce_numeric("balance_txt", df.schema["balance_txt"].dataType).alias("balance"), F.col("segment_raw").alias("segment"))
     median = exact_quantiles(raw, {"balance": F.col("balance")}, [0.5])["balance"][0]
     counts = raw.where(F.col("segment").isNotNull()).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
-    mode = counts.orderBy(F.desc("n"), "segment").limit(1).select(F.col("segment").alias("mode"))
-    return raw.crossJoin(F.broadcast(mode)).select(
-        "c_custkey", F.round(F.coalesce("balance", F.lit(median)), 6).alias("balance"), F.coalesce("segment", "mode").alias("segment")
+    mode = F.lit(counts.orderBy(F.desc("n"), "segment").first()["segment"])
+    return raw.select(
+        "c_custkey", F.round(F.coalesce("balance", F.lit(median)), 6).alias("balance"), F.coalesce("segment", mode).alias("segment")
     )
 
 
@@ -321,7 +321,7 @@ def baseline_metrics(spark, sf):
     df = v.scored_docs(spark, sf)
     base = metrics.baseline_classification(df, "quality", "1")
     rows = metrics.constant_predictions(df, base)
-    out = metrics.classification_metrics(metrics.confusion(rows, "quality", "majority_label")).crossJoin(base)
+    out = beside(metrics.classification_metrics(metrics.confusion(rows, "quality", "majority_label")), base)
     return _rounded(out, [*METRIC_NAMES, "positive_rate"])
 
 
@@ -331,10 +331,11 @@ SELECT CASE WHEN best >= 0.8 AND (f1_gain >= 0.15 OR gain >= 0.15) THEN 'strong'
   round(f1_gain, 6) AS primary_delta, (SELECT round(f1, 6) FROM m) AS best_metric, (SELECT round(f1, 6) FROM b) AS baseline_metric FROM g""")
 def quality_verdict(spark, sf):
     df = v.scored_docs(spark, sf)
-    model = metrics.classification_metrics(metrics.confusion(df, "quality", "pred")).crossJoin(metrics.ranking_metrics(df, "quality", "score", "1"))
+    model = beside(metrics.classification_metrics(metrics.confusion(df, "quality", "pred")), metrics.ranking_metrics(df, "quality", "score", "1"))
     rows = metrics.constant_predictions(df, metrics.baseline_classification(df, "quality", "1"))
-    base = metrics.classification_metrics(metrics.confusion(rows, "quality", "majority_label")).crossJoin(
-        metrics.ranking_metrics(rows, "quality", "positive_rate", "1")
+    base = beside(
+        metrics.classification_metrics(metrics.confusion(rows, "quality", "majority_label")),
+        metrics.ranking_metrics(rows, "quality", "positive_rate", "1"),
     )
     return _rounded(metrics.quality_verdict(model, base, "classification"), ["primary_delta", "best_metric", "baseline_metric"])
 
@@ -524,7 +525,7 @@ def readiness(spark, sf):
     rows = metrics.constant_predictions(df, metrics.baseline_classification(df, "quality", "1"))
     model = metrics.classification_metrics(metrics.confusion(df, "quality", "pred"))
     base = metrics.classification_metrics(metrics.confusion(rows, "quality", "majority_label"))
-    values = model.select(F.col("f1_macro").alias("external"), F.col("support").alias("rows")).crossJoin(base.select(F.col("f1_macro").alias("baseline")))
+    values = beside(model.select(F.col("f1_macro").alias("external"), F.col("support").alias("rows")), base.select(F.col("f1_macro").alias("baseline")))
     values = values.withColumns({"internal": F.lit(0.9), "overlap": F.lit(0).cast("bigint"), "blocked": F.lit(False)})
     return _rounded(scoring.readiness(values, "f1_macro"), ["external_value", "external_baseline_value", "performance_drop"])
 

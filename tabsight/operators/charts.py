@@ -11,13 +11,13 @@ from .profile import hash_sample
 
 
 def histogram(df: DataFrame, name: str, target: str, buckets: int = 20) -> DataFrame:
-    """Rows per equal-width bucket and target value; the bounds are one broadcast row."""
-    bounds = df.agg(F.min(col(name).cast("double")).alias("_lo"), F.max(col(name).cast("double")).alias("_hi"))
+    """Rows per equal-width bucket and target value; the bounds take one scan."""
     x = col(name).cast("double")
-    place = F.floor(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets)
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    place = F.floor(F.try_divide(x - F.lit(low), F.lit(high) - F.lit(low)) * buckets)
     bucket = F.coalesce(F.least(place, F.lit(buckets - 1)), F.lit(0)).cast("bigint")
     return (
-        df.where(col(name).isNotNull()).crossJoin(F.broadcast(bounds))
+        df.where(col(name).isNotNull())
         .groupBy(bucket.alias("bucket"), col(target).cast("string").alias("target"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.lit(name).alias("column"), "bucket", "target", "n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import col, has_any, name_tokens_camel, unit_name, unit_number
-from ..session import small_table
+from ..session import beside, small_table
 from .clean import coerce_datetime, coerce_numeric, family
 from .ordered import running_totals
 from .profile import union_all
@@ -172,10 +172,11 @@ def _purity(pairs: DataFrame, name: str) -> DataFrame:
     counts = pairs.where(F.col("f").isNotNull() & F.col("t").isNotNull()).groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"))
     classes = counts.agg(F.count_distinct("t").alias("target_levels"))
     levels = counts.groupBy("f").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    return levels.agg(
+    totals = levels.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("paired"), F.count(F.lit(1)).alias("levels"),
         F.try_divide(F.sum("top"), F.sum("n")).alias("evidence"),
-    ).crossJoin(classes).select(F.lit(name).alias("column"), "paired", "levels", "target_levels", "evidence")
+    )
+    return beside(totals, classes).select(F.lit(name).alias("column"), "paired", "levels", "target_levels", "evidence")
 
 
 def level_purity(df: DataFrame, target: str, names: list[str]) -> DataFrame:

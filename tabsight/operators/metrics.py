@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, safe_ratio
+from ..session import beside
 from .ordered import binary_curve, curve_areas
 
 
@@ -53,12 +54,12 @@ def best_threshold(scored: DataFrame, actual: str, score: str, label: str) -> Da
         col(score).alias("score"), (col(actual).cast("string") == label).cast("int").alias("positive")
     )
     curve = binary_curve(flagged, "score", "positive")
-    total = flagged.agg(F.sum("positive").alias("all_positive"))
+    total = flagged.agg(F.sum("positive")).first()[0] or 0
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     precision = safe_ratio(tp, tp + fp)
-    recall = safe_ratio(tp, F.col("all_positive"))
+    recall = safe_ratio(tp, F.lit(total))
     f1 = 2 * precision * recall / F.greatest(precision + recall, F.lit(1e-12))
-    return curve.crossJoin(total).select("score", f1.alias("f1")).agg(
+    return curve.select("score", f1.alias("f1")).agg(
         F.max_by("score", F.struct("f1", -F.col("score"))).alias("threshold"), F.max("f1").alias("best_f1")
     )
 
@@ -99,15 +100,16 @@ def baseline_classification(train: DataFrame, actual: str, label: str | None) ->
 
 
 def constant_predictions(rows: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Rows with the one-row baseline attached."""
-    return rows.crossJoin(F.broadcast(baseline))
+    """Rows with the values of the one-row baseline attached as constants."""
+    values = baseline.first().asDict()
+    return rows.select("*", *[F.lit(v).alias(k) for k, v in values.items()])
 
 
 def quality_verdict(model: DataFrame, baseline: DataFrame, problem_type: str) -> DataFrame:
     """Verdict of one-row model metrics against one-row baseline metrics."""
     m = model.select([F.col(c).alias(f"m_{c}") for c in model.columns])
     b = baseline.select([F.col(c).alias(f"b_{c}") for c in baseline.columns])
-    both = m.crossJoin(b)
+    both = beside(m, b)
     if problem_type == "classification":
         ranked = "average_precision" in model.columns and "average_precision" in baseline.columns
         primary = F.col("m_average_precision") if "average_precision" in model.columns else F.col("m_f1")

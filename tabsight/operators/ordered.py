@@ -12,6 +12,7 @@ from .profile import union_all
 
 # Most distinct values one task may have to hold for an exact order statistic.
 VALUES_PER_TASK = 1_000_000
+MAX_RANGES = 20_000
 
 
 def exact_quantiles(
@@ -88,7 +89,9 @@ def running_totals(
     """
     group = group or []
     total = df.count() if size is None else size
-    ranges = -(-total // values_per_task)
+    # More ranges than this would only make the table of cuts large; bigger ranges sort
+    # and spill inside their task.
+    ranges = min(-(-total // values_per_task), MAX_RANGES)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     if ranges <= 1:
         w = Window.partitionBy(*([col(g) for g in group] or [F.lit(1)])).orderBy(direction(order))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import col, datetime_sql, digest_sql, literal, number_sql, ref, safe_ratio, words_sql
-from ..session import small_table
+from ..session import beside, small_table
 from .clean import family
 
 COLUMNS_PER_JOB = 48
@@ -276,7 +276,7 @@ def overview(df: DataFrame, facts: DataFrame) -> DataFrame:
         F.max(missing).alias("top_missing_count"),
     )
     pct = safe_ratio(F.col("top_missing_count"), F.col("rows")) * 100
-    return totals.withColumn("top_missing_pct", pct).crossJoin(duplicate_rows(df))
+    return beside(totals.withColumn("top_missing_pct", pct), duplicate_rows(df))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -49,6 +49,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], df.schema)
 
 
+def beside(*tables: DataFrame) -> DataFrame:
+    """One-row tables side by side: every input holds exactly one aggregated row."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.crossJoin(table)
+    return out
+
+
 def small_table(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A driver-side table of already aggregated rows (per column, pair or level)."""
     return spark.createDataFrame([tuple(r) for r in rows], schema)
