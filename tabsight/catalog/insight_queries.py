@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import insights, profile, targets
 from . import views as v
-from .oracle import MEASURES_SQL, erfc_sql, plain_tokens, roles_sql, two_sided_sql
-from .profile_queries import _facts, _roles
+from .oracle import MEASURES_SQL, roles_sql, two_sided_sql
+from .profile_queries import _roles
 from .registry import query
 
 PRICED = f"t AS ({v.PRICED_LINES_SQL})"

@@ -8,13 +8,11 @@ from ..functions.text import col
 from ..operators import features, leakage, metrics, scoring, split, training
 from ..operators.clean import coerce_numeric, sanitize
 from ..operators.ordered import exact_quantiles
-from ..operators.profile import column_facts
-from ..operators.roles import with_roles
 from ..plans import evidence, insight_run, model_run, score_run
 from ..session import beside, small_table
 from . import views as v
 from .insight_queries import _rounded
-from .oracle import camel_tokens, roles_sql, scores_sql
+from .oracle import camel_tokens, scores_sql
 from .profile_queries import HINTS, _facts, _roles
 from .registry import query
 

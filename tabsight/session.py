@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,22 +22,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names.
+def hold(df: DataFrame) -> DataFrame:
+    """Keep rows that many later jobs read.
 
-    Only where ``spark.checkpoint.dir`` is unset and the master is local (tests) is a
-    scratch folder chosen; a cluster without a shared folder is an error.
+    Where the session names a shared folder in ``spark.checkpoint.dir`` the rows are
+    checkpointed there, so a lost executor costs a re-read; otherwise they are cached and
+    recomputed from the source when lost.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-            folder = tempfile.mkdtemp(prefix="tabsight-checkpoint-")
+            return df.persist()
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
