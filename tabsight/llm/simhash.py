@@ -34,6 +34,7 @@ NODE_ROWS = 4_096
 MAX_NODES = 4_096
 FRONTIER_BITS = 18
 HASH_BLOCK = 1 << 16
+PAIR_BLOCK = 1 << 18
 
 
 def fingerprint_of(text: str, shingle: int = SHINGLE_WORDS) -> int:
@@ -161,7 +162,7 @@ def linked(left: np.ndarray, right: np.ndarray, same: bool, budget: int) -> Iter
         fb, lb = np.searchsorted(cuts_b, blo), np.searchsorted(cuts_b, bhi)
         na, nb = la - fa, lb - fb
         total = na * nb
-        if total.sum() > (1 << 21) and len(total) > 1:  # halve the block of pairs, and go on depth first
+        if total.sum() > PAIR_BLOCK and len(total) > 1:  # halve the block of pairs, and go on depth first
             half = len(total) // 2
             for part in (slice(half, None), slice(0, half)):
                 stack.append((level, alo[part], ahi[part], blo[part], bhi[part], diff[part]))

@@ -34,8 +34,9 @@ ORDER = 4
 CODE_BITS = 12
 DISCOUNT = 0.75
 DEAD_ZONE = 1.5
-SLOT_BITS = {1: 16, 2: 17, 3: 20, 4: 22}
-BLOCK_CHARS = 1 << 20
+SLOT_BITS = {1: 14, 2: 16, 3: 19, 4: 21}
+BLOCK_CHARS = 1 << 17
+BLOCK_ROWS = 256
 CALIBRATION_ROWS = 50_000
 BROADCAST_LABELS = 2_000_000
 
@@ -81,6 +82,13 @@ def _batches(texts: Iterator[str]) -> Iterator[list[str]]:
         yield held
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most BLOCK_ROWS, so few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            yield batch.slice(at, BLOCK_ROWS)
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """``gram, n0, n1`` over all rows of ``text, label``: counts at the highest order by class."""
 
@@ -276,7 +284,7 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(shared.value.evidence(texts))], names=["label", "evidence"]
@@ -290,7 +298,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(shared.value.scores(texts))], names=["doc_id", "score"]
@@ -305,7 +313,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array(shared.value.scores(texts) < threshold))
 
