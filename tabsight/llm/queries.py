@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import bpe, content_sort, mixing, simhash, toxicity
+from tabsight.llm import bpe, content_sort, mixing, secret_scan, simhash, toxicity, winnow
 from tabsight.llm.common import id_remainder
 
 QUERIES: dict = {}
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_fingerprints(spark, sf_dir):
+    return winnow.summary(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     return content_sort.exact_groups(table(spark, sf_dir, "documents"))
@@ -50,6 +55,15 @@ def op6_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), MIX)
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+        "n_mixed", "n_live", "n_shared",
+    )
+
+
 @query
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
