@@ -6,12 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import bpe, content_sort, mixing, secret_scan, simhash, toxicity, winnow
+from tabsight.llm import (
+    bpe,
+    content_sort,
+    langid,
+    mixing,
+    quality_rules,
+    secret_scan,
+    simhash,
+    token_store,
+    toxicity,
+    winnow,
+)
 from tabsight.llm.common import id_remainder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # Shares of the training mix.
@@ -36,6 +48,20 @@ def op1_fingerprints(spark, sf_dir):
     return winnow.summary(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_token_ids(spark, sf_dir):
+    back = token_store.round_trip(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     return content_sort.exact_groups(table(spark, sf_dir, "documents"))
@@ -50,6 +76,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+@query
+def op5_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    model = quality_rules.train(quality_rules.labelled(docs.where(~held_out), labels, "quality"))
+    return quality_rules.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), MIX)
