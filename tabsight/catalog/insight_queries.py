@@ -285,14 +285,14 @@ def perfect_levels(spark, sf):
 
 
 @query("quality_statements", f"""WITH t AS (SELECT * FROM lineitem), {roles_sql(v.LINEITEM)}, h AS (SELECT position, role,
-  CASE role WHEN 'identifier' THEN 'identifier-like' WHEN 'datetime' THEN 'date / time' WHEN 'numeric' THEN 'numeric measure' WHEN 'text' THEN 'long text'
-       WHEN 'categorical' THEN 'categorical label' WHEN 'boolean' THEN 'categorical label' ELSE 'high-cardinality category' END AS hint FROM roles),
+  CASE role WHEN 'identifier' THEN 'key' WHEN 'datetime' THEN 'date' WHEN 'numeric' THEN 'number' WHEN 'text' THEN 'prose'
+       WHEN 'categorical' THEN 'category' WHEN 'boolean' THEN 'category' ELSE 'wide category' END AS hint FROM roles),
 mix AS (SELECT hint, count(*) AS n, min(position) AS p FROM h GROUP BY hint ORDER BY n DESC, p LIMIT 4),
 dup AS (SELECT coalesce(sum(n - 1), 0) AS d FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(c for c, _, _ in v.LINEITEM)})),
-lines AS (SELECT 1 AS o, 'Column mix: ' || string_agg(n || ' ' || hint, ', ' ORDER BY n DESC, p) || '.' AS statement FROM mix
-  UNION ALL SELECT 2, 'Found ' || format('{{:,}}', d::BIGINT) || ' exact duplicate row(s).' FROM dup WHERE d > 0
-  UNION ALL SELECT 3, count(*) || ' column(s) are constant among their non-missing values.' FROM roles WHERE uniq <= 1 HAVING count(*) > 0
-  UNION ALL SELECT 4, count(*) || ' column(s) look more like identifiers than meaningful prediction targets.' FROM h WHERE role = 'identifier' HAVING count(*) > 0)
+lines AS (SELECT 1 AS o, 'roles: ' || string_agg(hint || ' x' || n, ', ' ORDER BY n DESC, p) AS statement FROM mix
+  UNION ALL SELECT 2, 'repeated rows: ' || d::BIGINT FROM dup WHERE d > 0
+  UNION ALL SELECT 3, 'constant columns: ' || count(*) FROM roles WHERE uniq <= 1 HAVING count(*) > 0
+  UNION ALL SELECT 4, 'key columns: ' || count(*) FROM h WHERE role = 'identifier' HAVING count(*) > 0)
 SELECT (row_number() OVER (ORDER BY o) - 1)::INT AS place, statement FROM lines""")
 def quality_statements(spark, sf):
     df, r = _roles(v.table(spark, sf, "lineitem"))

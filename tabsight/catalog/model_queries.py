@@ -239,6 +239,23 @@ def kfold_assign(spark, sf):
     return v.table(spark, sf, "orders").select("o_orderkey", split.fold_column(["o_orderkey"], 3).alias("fold"))
 
 
+FOLD_HASH = f"md5({HASH} || '#fold')"
+
+
+@query("holdout_stratified", f"""WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {HASH}) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT o_orderkey, o_orderstatus, CASE WHEN r <= floor(n * 0.2::DOUBLE + 0.5) THEN 'holdout' ELSE 'train' END AS part FROM r""")
+def holdout_stratified(spark, sf):
+    df = v.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return split.stratified_holdout(df, ["o_orderkey"], "o_orderstatus")
+
+
+@query("kfold_stratified", f"""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {FOLD_HASH}) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderkey, o_orderpriority, CASE WHEN r <= floor(n / 3::DOUBLE + 0.5) THEN 0 WHEN r <= floor(n * (2 / 3::DOUBLE) + 0.5) THEN 1 ELSE 2 END AS fold FROM r""")
+def kfold_stratified(spark, sf):
+    df = v.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return split.stratified_folds(df, ["o_orderkey"], "o_orderpriority", 3).withColumnRenamed("_fold", "fold")
+
+
 @query("stratified_sample", f"""WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus), q AS (SELECT o_orderstatus, greatest(1, floor(3000.0 * n / (SELECT count(*) FROM orders))) AS quota FROM c)
 SELECT o_orderkey, o_orderstatus FROM orders JOIN q USING (o_orderstatus) QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY {HASH}, o_orderkey) <= quota""")
 def stratified_sample(spark, sf):

@@ -29,12 +29,12 @@ def families(df: DataFrame) -> dict[str, str]:
     return {f.name: family(f.dataType) for f in df.schema.fields}
 
 
-def check_headers(names: list[str], what: str = "Column names must be unique after trimming whitespace") -> list[str]:
+def check_headers(names: list[str], what: str = "names repeat once trimmed") -> list[str]:
     """Trimmed names; blanks become ``Unnamed: i``; duplicates are an error."""
     trimmed = [(n or "").strip() or f"Unnamed: {i}" for i, n in enumerate(names)]
     repeated = [n for n, k in Counter(trimmed).items() if k > 1]
     if repeated:
-        raise ValueError(f"{what}. Duplicate columns: " + ", ".join(repeated[:5]))
+        raise ValueError(f"{what}: {repeated}")
     return trimmed
 
 
@@ -99,7 +99,7 @@ def usable_target_rows(df: DataFrame, target: str, min_rows: int = fv.MIN_TARGET
     total, usable = df.select(cleaned.alias("t")).agg(F.count(F.lit(1)), F.count("t")).first()
     if usable < min_rows:
         raise ValueError(
-            f"After cleaning invalid target values ({target}), only {usable} usable rows remained."
+            f"{target}: {usable} rows with a value, {min_rows} needed"
         )
     return kept, total - usable
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, safe_ratio
@@ -81,9 +81,10 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     counts = (
         df.where(col(target).isNotNull()).groupBy(col(target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     )
-    everything = Window.partitionBy(F.lit(1))
-    share = F.col("n") / F.sum("n").over(everything)
-    return counts.withColumn("share", share).withColumn("smallest_share", F.min("share").over(everything))
+    total = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least"))
+    return beside(counts, total).select(
+        "label", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("least") / F.col("total")).alias("smallest_share")
+    )
 
 
 def baseline_classification(train: DataFrame, actual: str, label: str | None) -> DataFrame:
@@ -91,11 +92,10 @@ def baseline_classification(train: DataFrame, actual: str, label: str | None) ->
     counts = (
         train.where(col(actual).isNotNull()).groupBy(col(actual).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     )
-    smallest_first = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "label")
-    ranked = counts.withColumn("_r", F.row_number().over(smallest_first))
-    return ranked.agg(
-        F.max(F.when(F.col("_r") == 1, F.col("label"))).alias("majority_label"),
-        (F.sum(F.when(F.col("label") == F.lit(label), F.col("n")).otherwise(0)) / F.sum("n")).alias("positive_rate"),
+    most = counts.agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+    return beside(counts, most).agg(
+        F.min(F.when(F.col("n") == F.col("most"), F.col("label"))).alias("majority_label"),
+        (F.sum(F.when(F.col("label") == F.lit(label), F.col("n")).otherwise(0)) / F.max("total")).alias("positive_rate"),
     )
 
 
@@ -136,6 +136,3 @@ def quality_verdict(model: DataFrame, baseline: DataFrame, problem_type: str) ->
         verdict.alias("verdict"), gain.alias("primary_delta"), F.col("m_rmse").alias("best_metric"), F.col("b_rmse").alias("baseline_metric")
     )
 
-
-def round_half_even(c: Column) -> Column:
-    return F.rint(c).cast("bigint")

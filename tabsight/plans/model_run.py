@@ -39,19 +39,19 @@ def run(df: DataFrame, config: TrainingConfig, table: TableProfile | None = None
     decision = assessment(table, config.target)
     row = decision.first()
     if row is None:
-        raise ValueError(f"Target column '{config.target}' was not found.")
+        raise ValueError(f"no column {config.target!r} to predict")
     evidence = run_insights(table, list(config.key), config.target) if with_insights else {}
     if row["status"] == "rejected" or row["mode_recommendation"] != "prediction":
         return RunResult("analysis", decision, evidence, notes=list(row["blockers"] or row["assess_blockers"]))
     model = train_model(df, config)
     notes = [f"{c}: {rule} ({action})" for c, rule, action, _ in model.features.learned.leakage]
     notes += [
-        f"Entity overlap: {hits:,} of {total:,} holdout rows share {name} with model-training rows."
+        f"{name}: {hits:,}/{total:,} holdout rows hold a value of the training rows"
         for name, hits, total, _ in model.overlaps
     ]
     if model.selection_metric == "average_precision":
-        notes.append("Imbalanced target: models were ranked by average precision.")
-    notes.append("Internal validation is provisional until a labeled external dataset is evaluated.")
+        notes.append("rare class: ranked by average precision")
+    notes.append("no external evaluation yet")
     mode = "analysis" if model.verdict == "weak" else "prediction"
     return RunResult(mode, decision, evidence, model, cv_table(df.sparkSession, model), notes)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
@@ -81,10 +81,7 @@ def load_references(spark, path: str) -> References:
 def _external_labels(frame: DataFrame, target: str, model: FittedModel) -> tuple[DataFrame, DataFrame]:
     """Value counts of the external target mapped to training labels, and the gate row."""
     spark = frame.sparkSession
-    value = clean_value(target, frame.schema[target].dataType)
-    if family(frame.schema[target].dataType) == "numeric":
-        whole = F.rint(value.cast("double"))
-        value = F.when(whole == value.cast("double"), whole.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    value = _label_text(frame, target, model.labels)
     counts = (
         frame.select(value.cast("string").alias("value")).where(F.col("value").isNotNull())
         .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
@@ -94,10 +91,23 @@ def _external_labels(frame: DataFrame, target: str, model: FittedModel) -> tuple
     return mapped, scoring.evaluation_gate(mapped, labels)
 
 
+def _label_text(frame: DataFrame, target: str, labels: list[str]) -> Column:
+    """External target values spelled as the training labels are: whole numbers without a point
+    where the labels have none, as doubles where a label has one."""
+    kind = frame.schema[target].dataType
+    value = clean_value(target, kind)
+    if family(kind) != "numeric":
+        return value.cast("string")
+    number = value.cast("double")
+    if any("." in v for v in labels):
+        return number.cast("string")
+    return F.when(F.rint(number) == number, F.rint(number).cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+
 def score(model: FittedModel, df: DataFrame, refs: References) -> ScoreResult:
     """Every input row with prediction and probabilities, plus validation and drift."""
     if df.isEmpty():
-        raise ValueError("The scoring dataset contains no rows.")
+        raise ValueError("nothing to score: the table is empty")
     spark = df.sparkSession
     target = model.config.target
     required = model.features.required
@@ -178,11 +188,9 @@ def _evaluate(model: FittedModel, aligned: DataFrame, predicted: DataFrame, targ
         if status.first()["evaluation_status"] == "blocked":
             return status, {}, {}, 0
         names = {r["value"]: r["label"] for r in mapped.collect()}  # at most a few spellings per class
-        value = clean_value(target, aligned.schema[target].dataType)
-        if family(aligned.schema[target].dataType) == "numeric":
-            value = F.rint(value.cast("double")).cast("bigint")
+        value = _label_text(aligned, target, model.labels)
         spelled = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-        labelled = predicted.withColumn(target, F.try_element_at(spelled, value.cast("string"))).where(col(target).isNotNull())
+        labelled = predicted.withColumn(target, F.try_element_at(spelled, value)).where(col(target).isNotNull())
     labelled = labelled.persist()
     metrics = evaluate(labelled, target, model.problem_type, model.labels, model.label)
     plain = labelled.select(*[col(c) for c in labelled.columns if c != "_prediction" and not c.startswith("_p")])

@@ -87,7 +87,7 @@ def test_self_drift_is_zero(fitted):
 def test_missing_columns_and_unknown_labels(spark, fitted):
     df, result = fitted
     refs = score_run.training_references(result.model)
-    with pytest.raises(ValueError, match="missing required columns: spend"):
+    with pytest.raises(ValueError, match="the table lacks.*spend"):
         score_run.score(result.model, df.drop("spend"), refs)
     blocked = score_run.score(result.model, df.withColumn("target", F.lit("maybe")), refs)
     assert blocked.evaluation.first()["reason"] == "labels not present in training"
@@ -219,3 +219,41 @@ def test_output_names_never_replace_a_column():
     taken = {"prediction", "model_prediction"}
     assert scoring.output_name("prediction", taken) == "model_prediction_2"
     assert scoring.probability_name("Very High!") == "probability_very_high"
+
+
+def test_double_targets_meet_whole_number_labels(spark):
+    """A model of a 0.0/1.0 target is evaluated on 0/1 labels of any numeric type."""
+    train = planted(spark, 300).withColumn("target", F.col("target").cast("double"))
+    model = training.train_model(train, training.TrainingConfig("target", ("CustomerID",), boosting_rounds=3))
+    assert model.labels == ["0", "1"]
+    refs = score_run.training_references(model)
+    for kind in ("bigint", "double"):
+        external = planted(spark, 120, seed=8).withColumn("target", F.col("target").cast(kind))
+        out = score_run.score(model, external, refs)
+        assert out.evaluation.first()["evaluation_status"] == "completed"
+        assert {r["metric"]: r["value"] for r in out.metrics.where("source = 'model'").collect()}["support"] == 120
+
+
+def test_text_regression_targets_drop_what_is_no_number(spark):
+    df = planted(spark, 200).withColumn(
+        "amount", F.when(F.col("CustomerID") % 20 == 0, "n/a?").otherwise((F.col("spend") * 2).cast("string"))
+    )
+    config = training.TrainingConfig("amount", ("CustomerID",), "regression", boosting_rounds=3)
+    m = training.train_model(df.drop("target"), config)
+    assert m.training_rows + m.holdout_rows == 190
+
+
+def test_rare_classes_are_in_every_part(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") < 15, "case").otherwise("control").alias("y"))
+    parts = split.stratified_holdout(df, ["id"], "y")
+    counts = {(r["y"], r["part"]): r["count"] for r in parts.groupBy("y", "part").count().collect()}
+    assert counts == {("case", "holdout"): 3, ("case", "train"): 12, ("control", "holdout"): 57, ("control", "train"): 228}
+    folds = split.stratified_folds(df, ["id"], "y", 3)
+    counts = {(r["y"], r["_fold"]): r["count"] for r in folds.groupBy("y", "_fold").count().collect()}
+    assert counts == {(y, k): n // 3 for y, n in (("case", 15), ("control", 285)) for k in range(3)}
+
+
+def test_targets_with_too_many_classes_are_refused(spark):
+    df = spark.range(3000).select("id", F.concat(F.lit("v"), "id").alias("y"), F.rand(1).alias("x"))
+    with pytest.raises(ValueError, match="more than 1000 values"):
+        training.train_model(df, training.TrainingConfig("y", ("id",), "classification"))
