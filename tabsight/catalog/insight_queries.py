@@ -61,10 +61,10 @@ def correlations_with_gaps(spark, sf):
 
 @query("correlation_columns", f"""WITH t AS (SELECT * FROM lineitem), {roles_sql(v.LINEITEM)}
 SELECT name AS "column", non_null, uniq AS "distinct", count(*) OVER () AS candidate_columns,
-  row_number() OVER (ORDER BY non_null DESC, uniq DESC, lower(name), name) AS selection_rank FROM roles WHERE {MEASURES_SQL}
-QUALIFY row_number() OVER (ORDER BY non_null DESC, uniq DESC, lower(name), name) <= 40""")
+  row_number() OVER (ORDER BY non_null DESC, uniq DESC, lower(name), name) AS selection_rank, count(*) OVER () - 2 AS omitted_columns FROM roles WHERE {MEASURES_SQL}
+QUALIFY row_number() OVER (ORDER BY non_null DESC, uniq DESC, lower(name), name) <= 2""")
 def correlation_columns(spark, sf):
-    return insights.correlation_columns(_roles(v.table(spark, sf, "lineitem"))[1])
+    return insights.correlation_columns(_roles(v.table(spark, sf, "lineitem"))[1], limit=2)
 
 
 @query("bh_adjust", """WITH g AS (SELECT l_suppkey, count(*)::DOUBLE AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem GROUP BY l_suppkey),

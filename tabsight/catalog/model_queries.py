@@ -52,14 +52,18 @@ def leak_numeric_copy(spark, sf):
 LEAK_NAMES = [("doc_id", "bigint", "numeric"), ("label", "int", "numeric"), ("label_reason", "string", "categorical"), ("finalLabel", "int", "numeric"), ("lang", "string", "categorical")]
 
 
-@query("leak_names", f"""WITH names(name) AS (VALUES {', '.join(f"('{c}')" for c, _, _ in LEAK_NAMES)})
-SELECT name AS "column" FROM names WHERE name <> 'label' AND list_has_any({camel_tokens('name')}, ['label'])
-  AND list_has_any({camel_tokens('name')}, ['after','final','outcome','reason','result','status']) AND (SELECT count(*) FROM labels) > 0""")
+LEAK_FACTS = " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS non_null, count(DISTINCT {c}) AS uniq FROM t" for c, _, _ in LEAK_NAMES)
+
+
+@query("leak_names", f"""WITH t AS (SELECT d.doc_id, l.quality AS label, d.source AS label_reason, l.toxic AS finalLabel, d.lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+names AS ({LEAK_FACTS}) SELECT name AS "column", non_null, uniq AS "distinct" FROM names WHERE name <> 'label' AND list_has_any({camel_tokens('name')}, ['label'])
+  AND list_has_any({camel_tokens('name')}, ['after','final','outcome','reason','result','status'])""")
 def leak_names(spark, sf):
     df = v.labeled_docs(spark, sf).select(
         "doc_id", F.col("quality").alias("label"), F.col("source").alias("label_reason"), F.col("toxic").alias("finalLabel"), "lang"
     )
-    return leakage.suspicious_names(_facts(df)[1], "label")
+    facts = _facts(df)[1]
+    return leakage.suspicious_names(facts, "label").join(facts.select("column", "non_null", "distinct"), "column")
 
 
 def auc_sql(source: str, x: str, positive: str) -> str:

@@ -6,6 +6,7 @@ row per column; ``screen`` unions them and keeps the first excluding rule per co
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from .roles import pick
 
 REPORT_SCHEMA = "column string, rule string, action string, evidence double"
 
+ORDER_BLOCK_ROWS = 100_000
+MAX_ORDER_BLOCKS = 10_000
+
 
 def _as_text(name: str) -> Column:
     return col(name).cast("string")
@@ -104,26 +108,30 @@ def _order_number(df: DataFrame, name: str) -> Column:
 def time_order(df: DataFrame, names: list[str], order_by: list[str] | None) -> DataFrame:
     """Whether dates only rise or only fall along the caller's row order.
 
-    Monotone means: no later row holds an earlier date.  Rows are grouped into runs of
-    equal-sized order blocks, each block keeps its first, last and inner breaks, and only
+    Monotone means: no later row holds an earlier date.  Rows are grouped into order blocks of about
+    equal row counts, cut at quantiles of the order so that an outlying value changes nothing, each block keeps its first, last and inner breaks, and only
     the few block ends are compared in order.  Without an order nothing is checked.
     """
     schema = "column string, paired bigint, evidence double, flagged boolean"
     if not order_by or not names:
         return small_table(df.sparkSession, [], schema)
     key = order_by[0]
-    low, high, total = df.agg(F.min(_order_number(df, key)), F.max(_order_number(df, key)), F.count(F.lit(1))).first()
-    if not total or high is None:
+    numbers = df.select(_order_number(df, key).alias("o"))
+    total = numbers.agg(F.count("o")).first()[0]
+    if not total:
         return small_table(df.sparkSession, [], schema)
-    blocks = max(1, min(100_000, total // 100_000))
-    width = (high - low) / blocks or 1.0
+    blocks = max(1, min(MAX_ORDER_BLOCKS, total // ORDER_BLOCK_ROWS))
+    cuts = sorted(set(numbers.approxQuantile("o", [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)))) if blocks > 1 else []
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    block_of = Bucketizer(splits=splits, inputCol="o", outputCol="block", handleInvalid="keep")
     parts = []
     for n in names:
-        rows = df.select(
-            *[col(k).alias(f"k{i}") for i, k in enumerate(order_by)],
-            F.floor((_order_number(df, key) - F.lit(low)) / F.lit(width)).alias("block"),
-            coerce_datetime(n, df.schema[n].dataType).alias("ts"),
-        ).where(F.col("ts").isNotNull())
+        rows = block_of.transform(
+            df.select(
+                *[col(k).alias(f"k{i}") for i, k in enumerate(order_by)], _order_number(df, key).alias("o"),
+                coerce_datetime(n, df.schema[n].dataType).alias("ts"),
+            ).where(F.col("ts").isNotNull())
+        )
         inner = Window.partitionBy("block").orderBy(*[f"k{i}" for i in range(len(order_by))])
         steps = rows.withColumn("before", F.lag("ts").over(inner))
         place = F.struct(*[f"k{i}" for i in range(len(order_by))])

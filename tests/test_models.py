@@ -257,3 +257,25 @@ def test_targets_with_too_many_classes_are_refused(spark):
     df = spark.range(3000).select("id", F.concat(F.lit("v"), "id").alias("y"), F.rand(1).alias("x"))
     with pytest.raises(ValueError, match="more than 1000 values"):
         training.train_model(df, training.TrainingConfig("y", ("id",), "classification"))
+
+
+def test_one_outlying_order_key_changes_no_block(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ORDER_BLOCK_ROWS", 50)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    df = spark.range(1000).select(
+        F.when(F.col("id") == 999, 10**15).otherwise(F.col("id")).alias("k"),
+        (start + F.make_dt_interval(F.col("id"))).alias("up"),
+        (start + F.make_dt_interval((F.col("id") * 7) % 1000)).alias("mixed"),
+    )
+    got = {r["column"]: (r["paired"], r["flagged"]) for r in leakage.time_order(df, ["up", "mixed"], ["k"]).collect()}
+    assert got == {"up": (1000, True), "mixed": (1000, False)}
+
+
+def test_values_hot_only_when_scoring_meet_their_share(spark, monkeypatch):
+    monkeypatch.setattr(features, "BROADCAST_ROWS", 3)
+    train = spark.range(5000).select(F.concat(F.lit("v"), (F.col("id") % 2500).cast("string")).alias("c"))
+    table = features.frequency_table(train, F.col("c"))
+    scored = spark.range(2000).select(F.when(F.col("id") % 2 == 0, "v7").when(F.col("id") % 3 == 0, "new").otherwise("v8").alias("c"))
+    got = {r["c"]: (r["f"], r["n"]) for r in features.frequency_code(scored, F.col("c"), table, "f").groupBy("c", "f").agg(F.count("*").alias("n")).collect()}
+    assert {k: round(v[0], 6) for k, v in got.items()} == {"v7": 0.0004, "v8": 0.0004, "new": 0.0}
+    assert sum(v[1] for v in got.values()) == 2000
