@@ -58,10 +58,10 @@ def no_ascii_space(text: Column) -> Column:
 
 def arrow_pass(df: DataFrame, batch_fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """Row-wise pass over Arrow batches: lists in, lists out, one batch in memory at a time."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    kind: StructType = _parse_datatype_string(schema)
+    kind = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

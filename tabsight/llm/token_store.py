@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsight.llm.bpe import as_bytes as packed
 from tabsight.llm.common import new_path, stored, whole_text
 
 END_ID = 2
@@ -37,21 +39,21 @@ SAMPLE_TOKENS = 4_096
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 BLOCK_BYTES = 4 << 20
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 600_000
+ASCII_LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 
 # One letter run of the Basic Latin and Latin-1 blocks, lower case: one pre-token, unchanged by the normaliser.
 PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
-# A single mark between an ASCII letter and white space or the end is a pre-token of its own.
-LONE_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\x0b\x0c\r]|$)")
-
-
 @lru_cache(maxsize=2)
 def _word_encoder(vocabulary: str):
     return WordEncoder(vocabulary)
 
 
-class WordEncoder:
-    """Ids of whole texts, word by word; each distinct word is encoded by the library once."""
+class WordEncoder(dict):
+    """Ids of words as little-endian unsigned 32-bit integers; the library encodes each word once.
+
+    A bounded memory: once it holds ``memory`` words it starts anew.
+    """
 
     def __init__(self, vocabulary: str, memory: int = MEMORY_WORDS):
         import os
@@ -59,29 +61,29 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.memory, self.seen = memory, {}
-        self.byte_char = _byte_chars()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.memory, self.byte_char = memory, _byte_chars()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.memory:
+            self.clear()
+        if len(word) > 1 and word[-1] in b".," and word[-2] in ASCII_LETTERS:
+            ids = self[word[:-1]] + self[word[-1:]]  # one mark behind a letter is a pre-token of its own
+        elif PLAIN_WORD.fullmatch(text := word.decode()):
+            mapped = text if text.isascii() else "".join(map(self.byte_char.__getitem__, word))
+            ids = packed(array("I", [t.id for t in self.tokenize(mapped)]))
+        else:
+            ids = packed(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids))
+        self[word] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without the end id."""
-        split = [LONE_MARK.sub(rb" \1", t.encode("utf-8", "replace").lower()).split() for t in texts]
-        fresh = {w for words in split for w in words if w not in self.seen}
-        if len(self.seen) + len(fresh) > self.memory:
-            self.seen.clear()
-            fresh = {w for words in split for w in words}
-        plain, other = [], []
-        for word in fresh:
-            (plain if PLAIN_WORD.fullmatch(word.decode()) else other).append(word)
-        pack = lambda ids: np.array(ids, dtype="<u4").tobytes()
-        for word in plain:
-            mapped = "".join(map(self.byte_char.__getitem__, word)) if not word.isascii() else word.decode()
-            self.seen[word] = pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        for word, code in zip(other, coded):
-            self.seen[word] = pack(code.ids)
-        return [b"".join(map(self.seen.__getitem__, words)) for words in split]
+        """The ids of each text, without the end id."""
+        get = self.__getitem__
+        return [b"".join(map(get, t.encode("utf-8", "replace").lower().split())) for t in texts]
 
 
 def _byte_chars() -> list[str]:
