@@ -8,10 +8,10 @@ A one-variable logistic fit turns it into a probability.  Character n-grams see
 and compound forms of an expression that no word list holds.  Both models end in the same backoff: continuation
 counts shared by the classes, so an expression that neither class has seen says nothing.
 
-All n-gram counts are taken over all labelled training rows and summed by Spark; contexts, continuation
-counts and probabilities are DataFrame aggregates and joins.  Only the scoring table is
-bounded: 2 ** ``SLOT_BITS`` entries a level, where of n-grams that share a slot the more frequent one
-stays and the others back off to the next lower level.
+N-gram counts are summed by Spark; contexts, continuation counts and probabilities are DataFrame
+aggregates and joins.  Every n-gram scores: up to ``PART_ENTRIES`` n-grams are one broadcast table; more
+are cut into parts by their two middle codes, which all lookups of a position share, each part
+passes over the texts alone, and the evidence of a row is summed over the parts.
 
 Defined cases: an empty or missing text, or one of a single character, scores by its few or no positions (no position: the
 prior of the calibration rows); rows without a label, or with labels for one class only, train nothing
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import stored, whole_text
@@ -34,7 +34,7 @@ ORDER = 4
 CODE_BITS = 12
 DISCOUNT = 0.75
 DEAD_ZONE = 1.5
-SLOT_BITS = {1: 14, 2: 16, 3: 19, 4: 21}
+PART_ENTRIES = 4_000_000
 BLOCK_CHARS = 1 << 17
 BLOCK_ROWS = 256
 CALIBRATION_ROWS = 50_000
@@ -154,57 +154,54 @@ def levels(counts: DataFrame) -> dict[int, DataFrame]:
     return out
 
 
-def _place(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of a key by multiplicative hashing, and a 16-bit check of it that is never 0."""
-    wide = key.astype(np.uint64)
-    slot = (wide * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    check = (wide * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)
-    return slot.astype(np.int64), (check | np.uint64(1)).astype(np.uint16)
+def _place(key: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of a key by multiplicative hashing."""
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _slotted(rows: DataFrame, key: str, value: str, weight: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays by slot: check of the entry (0: none) and its value; at most ``2 ** bits`` rows are read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot, check = _place(batch.column("key").to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot.astype(np.int32)), pa.array(check.astype(np.int32)), *batch.columns],
-                names=["slot", "check", *batch.schema.names],
-            )
-
-    named = rows.select(F.col(key).alias("key"), F.col(value).alias("value"), F.col(weight).alias("weight"))
-    placed = named.mapInArrow(run, "slot int, check int, key long, value double, weight long")
-    table = placed.groupBy("slot").agg(F.max(F.struct("weight", "key", "check", "value")).alias("top")).select(
-        "slot", "top.check", "top.value"
-    ).toArrow()
-    slot = table["slot"].to_numpy()
-    checks, values = np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << bits, dtype=np.float32)
-    checks[slot] = table["check"].to_numpy()
-    values[slot] = table["value"].to_numpy()
-    return checks, values
+def _hashed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (-1: none) and values by slot, at most half full; a key stands in the first free slot from its own on."""
+    bits = max(4, (2 * len(key)).bit_length())
+    keys, values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.float32)
+    left, slot = np.arange(len(key)), _place(key, bits)
+    while len(left):
+        free = keys[slot] < 0
+        keys[slot[free]] = key[left[free]]
+        done = keys[slot] == key[left]
+        values[slot[done]] = value[left[done]]
+        left, slot = left[~done], (slot[~done] + 1) & (len(keys) - 1)
+    return keys, values
 
 
 def _found(key: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
-    checks, values = table
-    slot, check = _place(key, len(checks).bit_length() - 1)
-    return checks[slot] == check, values[slot]
-
-
-class Model:
-    """Scoring tables and calibration; small enough to broadcast whatever the corpus size."""
-
-    def __init__(self, tables: dict, slope: float = 0.0, offset: float = 0.0):
-        self.tables, self.slope, self.offset = tables, slope, offset
+    keys, values = table
+    slot = _place(key, len(keys).bit_length() - 1)
+    held = keys[slot]
+    seen = held == key
+    left = np.flatnonzero(~seen & (held >= 0))
+    while len(left):
+        slot[left] = (slot[left] + 1) & (len(keys) - 1)
+        held = keys[slot[left]]
+        hit = held == key[left]
+        seen[left[hit]] = True
+        left = left[~hit & (held >= 0)]
+    return seen, values[slot]
+
+
+class Part:
+    """All n-grams whose middle codes lie in ``low <= third << CODE_BITS | second < high``."""
+
+    def __init__(self, tables: dict, low: int = 0, high: int = 1 << 2 * CODE_BITS):
+        self.tables, self.low, self.high = tables, low, high
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """Length-normalised log ratio of each text, toxic to ordinary."""
+        """Length-normalised log ratio of each text, toxic to ordinary, from the positions of this part."""
         out = []
         for held in _batches(iter(texts)):
             codes, lengths = coded(held)
             ratios = np.concatenate(
                 [self._ratios(codes[at : at + BLOCK_CHARS + ORDER - 1]) for at in range(0, max(1, len(codes) - ORDER + 1), BLOCK_CHARS)]
-            ) if self.tables else np.zeros(max(0, len(codes) - ORDER + 1))
+            )
             running = np.concatenate(([0.0], np.cumsum(ratios, dtype=np.float64)))
             ends = np.cumsum(lengths + ORDER - 1) - (ORDER - 1)
             out.append((running[ends] - running[ends - lengths]) / np.sqrt(np.maximum(lengths, 1)))
@@ -213,6 +210,16 @@ class Model:
     def _ratios(self, codes: np.ndarray) -> np.ndarray:
         """Log ratio at each position that has a complete context: longest seen n-gram plus backoff."""
         full = grams(codes, ORDER)
+        if (self.low, self.high) == (0, 1 << 2 * CODE_BITS):
+            return self._looked_up(full)
+        one = (1 << CODE_BITS) - 1
+        middle = (full >> CODE_BITS & one) << CODE_BITS | (full >> 2 * CODE_BITS & one)
+        mine = np.flatnonzero((middle >= self.low) & (middle < self.high))
+        out = np.zeros(len(full), dtype=np.float32)
+        out[mine] = self._looked_up(full[mine])
+        return out
+
+    def _looked_up(self, full: np.ndarray) -> np.ndarray:
         ratio = np.zeros(len(full), dtype=np.float32)
         for k in range(2, ORDER + 1):
             key = full & ((1 << (CODE_BITS * k)) - 1)
@@ -221,15 +228,90 @@ class Model:
             ratio = np.where(seen, value, ratio + np.where(known, back, np.float32(0)))
         return np.where(np.abs(ratio) > DEAD_ZONE, ratio, np.float32(0))
 
+
+class Model:
+    """Broadcast parts (none: nothing was learned) and calibration."""
+
+    def __init__(self, parts: list, slope: float = 0.0, offset: float = 0.0):
+        self.parts, self.slope, self.offset = parts, slope, offset
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for part in self.parts:
+            out += part.value.evidence(texts)
+        return out
+
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.offset, -40, 40)))
 
+    def score(self, evidence: Column) -> Column:
+        line = F.least(F.greatest(F.lit(self.slope) * evidence + F.lit(self.offset), F.lit(-40.0)), F.lit(40.0))
+        return 1.0 / (1.0 + F.exp(-line))
 
-def _fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a one-variable logistic fit; both classes weigh the same, with a light ridge."""
+
+def _middle(gram: Column, behind: int) -> Column:
+    """Third and second code of an n-gram or context that ends ``behind`` codes after the third."""
+    one = F.lit((1 << CODE_BITS) - 1)
+    third = F.shiftright(gram, CODE_BITS * behind).bitwiseAND(one)
+    return F.shiftleft(third, CODE_BITS).bitwiseOR(F.shiftright(gram, CODE_BITS * (behind + 1)).bitwiseAND(one))
+
+
+def _ranges(by_level: dict[int, DataFrame]) -> list[tuple[int, int]]:
+    """Ranges of middle codes with about PART_ENTRIES n-grams each; none without n-grams.
+
+    At most one row a pair of codes is read, 2 ** 24 by their width.
+    """
+    total, end = sum(level.count() for level in by_level.values()), 1 << 2 * CODE_BITS
+    if total <= PART_ENTRIES:
+        return [(0, end)] if total else []
+    middles = by_level[ORDER].select(_middle(F.col("gram"), 1).alias("middle"))
+    for k in range(3, ORDER):
+        middles = middles.union(by_level[k].select(_middle(F.col("gram"), 1)))
+    sizes = middles.groupBy("middle").count().orderBy("middle").toArrow()
+    middle, size = sizes["middle"].to_numpy(), sizes["count"].to_numpy()
+    cuts, held = [0], 0
+    for at, n in zip(middle.tolist(), size.tolist()):
+        if held and held + n > PART_ENTRIES:
+            cuts.append(at)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], end]))
+
+
+def _parts(by_level: dict[int, DataFrame]) -> list:
+    """Broadcasts of the parts; the driver holds the tables of one part at a time."""
+    context = by_level[ORDER].sparkSession.sparkContext
+
+    def table(rows: DataFrame, key: str, value: str, k: int, behind: int, low: int, high: int):
+        if (low, high) != (0, 1 << 2 * CODE_BITS):
+            # The shortest n-grams have no second code: a part holds those of all its third codes.
+            first = low if k > 2 else low >> CODE_BITS << CODE_BITS
+            middle = _middle(F.col(key), behind) if k > 2 else F.shiftleft(
+                F.shiftright(key, CODE_BITS * behind).bitwiseAND(F.lit((1 << CODE_BITS) - 1)), CODE_BITS
+            )
+            rows = rows.where((middle >= first) & (middle < high))
+        read = rows.select(F.col(key).alias("key"), F.col(value).cast("float").alias("value")).toArrow()
+        return _hashed(read["key"].to_numpy(), read["value"].to_numpy())
+
+    out = []
+    for low, high in _ranges(by_level):
+        tables = {}
+        for k, level in by_level.items():
+            tables["ratio", k] = table(level, "gram", "ratio", k, 1, low, high)
+            contexts = level.groupBy("ctx").agg(F.first("back").alias("back"))
+            tables["back", k] = table(contexts, "ctx", "back", k, 0, low, high)
+        out.append(context.broadcast(Part(tables, low, high)))
+    return out
+
+
+def _fit_line(x: np.ndarray, y: np.ndarray, rate: float | None = None) -> tuple[float, float]:
+    """Slope and offset of a one-variable logistic fit; both classes weigh the same, with a light ridge.
+
+    Without a slope every score is ``rate``, by default the share of toxic rows.
+    """
     if len(y) == 0:
         return 0.0, 0.0
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = (y.sum() + 0.5) / (len(y) + 1) if rate is None else rate
     each = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     spread = x.std()
     if spread == 0 or y.min() == y.max():
@@ -265,14 +347,7 @@ def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     of those at most ``calibration_rows`` are used.
     """
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(8)) == 0
-    counts = gram_counts(rows.where(~apart))
-    by_level = levels(counts)
-    tables: dict = {}
-    for k, level in by_level.items():
-        tables["ratio", k] = _slotted(level, "gram", "ratio", "n", SLOT_BITS[k])
-        contexts = level.groupBy("ctx").agg(F.first("back").alias("back"), F.sum("n").alias("n"))
-        tables["back", k] = _slotted(contexts, "ctx", "back", "n", SLOT_BITS[k - 1])
-    model = Model(tables if tables["ratio", 2][0].any() else {})
+    model = Model(_parts(levels(gram_counts(rows.where(~apart)))))
     held = evidence(rows.where(apart).select("text", "label"), model).limit(calibration_rows).toArrow()
     x, y = held["evidence"].to_numpy(), held["label"].to_numpy().astype(float)
     model.slope, model.offset = _fit_line(x, y)
@@ -280,14 +355,32 @@ def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     return model
 
 
+def _summed(rows: DataFrame, model: Model, text: str) -> DataFrame:
+    """``rows`` with ``__evidence``: one pass of the texts for each part, summed by row."""
+    held = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "toxicity-rows")
+    passes = None
+    for part in model.parts:
+
+        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            for batch in small(batches):
+                found = part.value.evidence([t or "" for t in batch.column(text).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(found)], names=["__row", "__evidence"])
+
+        once = held.select("__row", text).mapInArrow(run, "__row long, __evidence double")
+        passes = once if passes is None else passes.union(once)
+    sums = stored(passes.groupBy("__row").agg(F.sum("__evidence").alias("__evidence")), "toxicity-evidence")
+    return held.join(sums, "__row").drop("__row")
+
+
 def evidence(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    if len(model.parts) > 1:
+        return _summed(rows.select("text", "label"), model, "text").select("label", F.col("__evidence").alias("evidence"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(shared.value.evidence(texts))], names=["label", "evidence"]
+                [batch.column("label"), pa.array(model.evidence(texts))], names=["label", "evidence"]
             )
 
     return rows.mapInArrow(run, "label int, evidence double")
@@ -295,26 +388,28 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``doc_id, score``, one row for each input row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
+    if len(model.parts) > 1:
+        return _summed(picked, model, "text").select("doc_id", model.score(F.col("__evidence")).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(shared.value.scores(texts))], names=["doc_id", "score"]
+                [batch.column("doc_id"), pa.array(model.scores(texts))], names=["doc_id", "score"]
             )
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
     return picked.mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose score is under the threshold, with all their columns; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows whose score is under the threshold, with all their columns; no shuffle of texts for one part."""
+    if len(model.parts) > 1:
+        return _summed(docs, model, text).where(model.score(F.col("__evidence")) < threshold).select(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array(shared.value.scores(texts) < threshold))
+            yield batch.filter(pa.array(model.scores(texts) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

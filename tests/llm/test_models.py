@@ -142,3 +142,29 @@ def test_quality_without_labels(spark, table):
     assert quality_rules.score(table([(1, "a")]), quality_rules.train(empty)).first().score == 0.5
     ones = spark.createDataFrame([("a", 1.0)] * 3, "text string, label double")
     assert quality_rules.score(table([(1, "a")]), quality_rules.train(ones)).first().score > 0.8
+
+
+def test_every_gram_scores_in_one_table_and_in_parts(spark, table, rated, monkeypatch):
+    """The tables hold each n-gram of the levels, and parts give the scores of the whole."""
+    docs = table([(i, t) for i, t in enumerate([None, "", "vorgula " * 9, prose(random.Random(8), "en", 90)])] + [(3, "vorgixc")])
+    by_level = toxicity.levels(toxicity.gram_counts(rated))
+    whole = toxicity.Model(toxicity._parts(by_level), 1.0, -1.0)
+    for k, level in by_level.items():
+        rows = level.select("gram", "ratio").toArrow()
+        seen, value = toxicity._found(rows["gram"].to_numpy(), whole.parts[0].value.tables["ratio", k])
+        assert seen.all() and np.allclose(value, rows["ratio"].to_numpy(), atol=1e-5)
+    want = sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, whole).collect())
+    kept = sorted(map(str, toxicity.drop_toxic(docs, whole).collect()))
+    monkeypatch.setattr(toxicity, "PART_ENTRIES", 300)
+    cut = toxicity.Model(toxicity._parts(by_level), 1.0, -1.0)
+    assert len(cut.parts) > 3
+    assert sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, cut).collect()) == want
+    assert sorted(map(str, toxicity.drop_toxic(docs, cut).collect())) == kept
+
+
+def test_colliding_grams_keep_their_values():
+    key = np.random.default_rng(1).choice(1 << 48, 300_000, replace=False).astype(np.int64)
+    table = toxicity._hashed(key[:200_000], np.arange(200_000, dtype=np.float32))
+    seen, value = toxicity._found(key, table)
+    assert seen[:200_000].all() and not seen[200_000:].any()
+    assert (value[:200_000] == np.arange(200_000)).all()
