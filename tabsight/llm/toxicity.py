@@ -340,19 +340,37 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, text: str = "text")
     return rows.join(F.broadcast(flags) if small else flags, "doc_id")
 
 
+def calibration(rows: DataFrame, bound: int) -> tuple[DataFrame, float]:
+    """About ``bound`` rows by a digest of their ids, and the share of toxic ones in all ``rows``.
+
+    Toxic rows have the first half of the bound and what the others leave, so all count up to there.
+    """
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    zeros, ones = n.get(0, 0), n.get(1, 0)
+    take = min(ones, max(bound // 2, bound - zeros))
+    share = {1: take / max(1, ones), 0: min(1.0, (bound - take) / max(1, zeros))}
+    digest = F.pmod(F.xxhash64("doc_id", F.lit("calibration row")), F.lit(1 << 30))
+    limit = F.when(F.col("label") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
+    return rows.where(digest < limit), (ones + 0.5) / (ones + zeros + 1)
+
+
 def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Fit on ``doc_id, text, label``.
 
-    One row in eight, by a hash of its id, is left out of the counts and calibrates the scores;
-    of those at most ``calibration_rows`` are used.
+    One row in eight, by a hash of its id, is left out of a first model and calibrates its scores with about
+    ``calibration_rows`` rows at most; then its n-grams are added, so the final counts have all rows.
     """
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(8)) == 0
-    model = Model(_parts(levels(gram_counts(rows.where(~apart)))))
-    held = evidence(rows.where(apart).select("text", "label"), model).limit(calibration_rows).toArrow()
+    counts = stored(gram_counts(rows.where(~apart)), "kn-counts")
+    first = Model(_parts(levels(counts)))
+    picked, rate = calibration(rows.where(apart), calibration_rows)
+    held = evidence(picked.select("text", "label"), first).toArrow()
     x, y = held["evidence"].to_numpy(), held["label"].to_numpy().astype(float)
-    model.slope, model.offset = _fit_line(x, y)
-    model.slope = max(model.slope, 0.0)
-    return model
+    slope, offset = _fit_line(x, y, rate)
+    for part in first.parts:
+        part.unpersist()
+    both = counts.union(gram_counts(rows.where(apart))).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return Model(_parts(levels(both)), max(slope, 0.0), offset)
 
 
 def _summed(rows: DataFrame, model: Model, text: str) -> DataFrame:

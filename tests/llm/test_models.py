@@ -168,3 +168,24 @@ def test_colliding_grams_keep_their_values():
     seen, value = toxicity._found(key, table)
     assert seen[:200_000].all() and not seen[200_000:].any()
     assert (value[:200_000] == np.arange(200_000)).all()
+
+
+def test_calibration_rows_come_from_the_whole_table(spark):
+    """A head of ordinary rows only, as a table written by source has it, does not hide the toxic ones."""
+    rows = spark.range(4_000).selectExpr("id AS doc_id", "'t' AS text", "int(id >= 3900) AS label").coalesce(1)
+    picked, rate = toxicity.calibration(rows, 400)
+    n = {r.label: r["count"] for r in picked.groupBy("label").count().collect()}
+    assert n[1] == 100 and 200 < n[0] < 400
+    assert picked.where("label = 0").agg(F.max("doc_id")).first()[0] > 3_000
+    assert rate == pytest.approx(100.5 / 4_001)
+
+
+def test_calibration_rows_are_learned_too(spark, rated, monkeypatch):
+    """The n-grams of every labelled row are in the final model, and a sorted table is calibrated."""
+    seen = []
+    levels = toxicity.levels
+    monkeypatch.setattr(toxicity, "levels", lambda counts: seen.append(counts) or levels(counts))
+    model = toxicity.train(rated.orderBy("label").coalesce(1), calibration_rows=20)
+    assert model.slope > 0
+    want = sorted(map(tuple, toxicity.gram_counts(rated).collect()))
+    assert sorted(map(tuple, seen[-1].collect())) == want
