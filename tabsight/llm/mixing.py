@@ -8,12 +8,14 @@ a recomputed partition draws the same documents.
 
 Defined cases: a missing source or language is ``*``; a missing or empty text has no tokens and takes its
 cell's probability; categories without tokens give their share to the others in proportion; a target
-beyond a category's tokens takes all of them; repeated rows share one draw; a missing ``doc_id`` draws by
+beyond a category's tokens takes all of them; a category with target 0 is never drawn, and where
+that is ``*`` because the named shares leave nothing, a warning counts its tokens (none if the targets name ``*``); repeated rows share one draw; a missing ``doc_id`` draws by
 its text; extra columns stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,6 +132,10 @@ def cell_probabilities(celled: DataFrame, targets: Targets) -> list[tuple]:
     sums = celled.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")).collect()
     for row in sums:
         tokens[place[0][row[0]], place[1][row[1]], place[2][row[2]]] = row.tokens
+    for axis, margin in enumerate(MARGINS):
+        rest = tokens.take(-1, axis=axis).sum()
+        if rest > 0 and targets.shares(margin)[-1] <= 1e-9 and getattr(targets, margin).get(REST) != 0:
+            warnings.warn(f"{margin}: {rest:.0f} tokens of unnamed or missing values are never drawn; the named shares leave none")
     probability = rake(tokens, targets)
     return [
         (a, b, c, float(probability[i, j, k] / targets.budget), float(probability[i, j, k]))

@@ -26,10 +26,11 @@ ORACLES: dict[str, str] = {}
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-# Shares of the training mix.
+# Shares of the training mix; missing and unnamed sources and languages share REST_SHARE, which goes to the named ones where there are none.
+REST_SHARE = 0.05
 MIX = mixing.Targets(
-    source={f"src{i}": 0.05 for i in range(20)},
-    lang={"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+    source={f"src{i}": 0.05 * (1 - REST_SHARE) for i in range(20)},
+    lang={k: share * (1 - REST_SHARE) for k, share in {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}.items()},
     topic={"prose": 0.7, "legal": 0.1, "contact": 0.1, "table": 0.1},
 )
 

@@ -97,3 +97,35 @@ def test_edge_cases(table):
     assert got(mixing.mix(clash, TARGETS)) == brute(rows, TARGETS)
     assert mixing.sample(clash, TARGETS).columns == clash.columns
     assert mixing.mix(docs.limit(0), TARGETS).count() == 0
+
+
+def test_missing_and_unseen_categories_can_be_drawn(table):
+    from tabsight.llm.queries import MIX
+
+    rows = [(i, "a few words " * 9, lang, source) for i, (lang, source) in enumerate(
+        [("en", "src0"), ("de", "src1"), (None, "src0"), ("en", None), ("ja", "src3"), ("en", "new"), (None, None)] * 20
+    )]
+    rows += [(1_000, "", None, "src0"), (1_001, None, "en", "new")]
+    got = mixing.mix(table(rows), MIX).collect()
+    assert len(got) == len(rows) and min(r.probability for r in got) > 0
+    assert {r.lang_class for r in got if r.selected} >= {"*"} and {r.source_class for r in got if r.selected} >= {"*"}
+
+
+def test_named_shares_are_the_same_where_nothing_is_unnamed(documents):
+    from tabsight.llm.queries import MIX
+
+    full = mixing.Targets({f"src{i}": 0.05 for i in range(20)}, {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, MIX.topic)
+    rest = mixing.cell_probabilities(mixing._celled(documents, MIX, None), MIX)
+    whole = mixing.cell_probabilities(mixing._celled(documents, full, None), full)
+    assert [r[:3] for r in rest] == [r[:3] for r in whole]
+    named = lambda rows: [r[4] for r in rows if "*" not in r[:3]]
+    assert named(rest) == pytest.approx(named(whole), abs=1e-9)
+
+
+def test_a_rest_without_a_share_is_told(table):
+    docs = table([(1, "a b", "en", "src0"), (2, "c d", "en", "other")])
+    lang, topic = {"en": 1.0}, {"prose": 1.0}
+    with pytest.warns(UserWarning, match="source: 2 tokens"):
+        mixing.mix(docs, mixing.Targets({"src0": 1.0}, lang, topic))
+    left_out = mixing.mix(docs, mixing.Targets({"src0": 1.0, "*": 0.0}, lang, topic)).collect()
+    assert [r.probability for r in sorted(left_out, key=lambda r: r.doc_id)] == [1.0, 0.0]
