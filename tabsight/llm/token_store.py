@@ -10,7 +10,8 @@ The dictionary is fitted on about ``SAMPLE_DOCS`` documents, picked by a digest,
 ``SAMPLE_TOKENS`` leading ids each; the bound only touches the compression ratio, never the ids.
 
 White space never reaches a token of this vocabulary, so a text is the sequence of its words, and
-words that were seen before are taken from a bounded memory of the worker.
+words that were seen before are taken from a bounded memory of the worker.  The added tokens of the vocabulary
+(``<|endoftext|>``) are cut out of the text first and give their own ids, as the library's ``encode`` does.
 
 Defined cases: a missing or empty text is the end id alone; repeated ids keep their rows, by text;
 a missing ``doc_id`` comes first; extra columns are ignored; an empty table gives no blocks.
@@ -44,6 +45,8 @@ ASCII_LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 
 # One letter run of the Basic Latin and Latin-1 blocks, lower case: one pre-token, unchanged by the normaliser.
 PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+")
+
+
 @lru_cache(maxsize=2)
 def _word_encoder(vocabulary: str):
     return WordEncoder(vocabulary)
@@ -66,6 +69,12 @@ class WordEncoder(dict):
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.memory, self.byte_char = memory, _byte_chars()
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("only added tokens that match their exact text are supported")
+        self.added = {t.content: packed(array("I", [i])) for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.memory:
@@ -80,8 +89,19 @@ class WordEncoder(dict):
         self[word] = ids
         return ids
 
+    def whole_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text with its added tokens, without the end id."""
+        out = self.ids(texts)
+        for i, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                pieces = self.cut.split(text)  # texts between, and added tokens at odd places
+                between = self.ids(pieces[::2])
+                tokens = [self.added[t] for t in pieces[1::2]]
+                out[i] = b"".join(x for pair in zip(between, [*tokens, b""]) for x in pair)
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without the end id."""
+        """The ids of each text, without the end id; added tokens are read as ordinary text."""
         get = self.__getitem__
         return [b"".join(map(get, t.encode("utf-8", "replace").lower().split())) for t in texts]
 
@@ -100,7 +120,7 @@ def _byte_chars() -> list[str]:
 
 def encode_all(texts: list[str], vocabulary: str, end_id: int = END_ID) -> Iterator[bytes]:
     end = np.array([end_id], dtype="<u4").tobytes()
-    for ids in _word_encoder(vocabulary).ids(texts):
+    for ids in _word_encoder(vocabulary).whole_ids(texts):
         yield ids + end
 
 

@@ -60,3 +60,18 @@ def test_edge_cases(table, spark):
     assert rows[1].n_tokens == rows[-1].n_tokens == 1
     assert zlib.crc32(rows[1].ids) == zlib.crc32((2).to_bytes(4, "little"))
     assert token_store.round_trip(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_added_tokens_have_their_ids(table):
+    """Against the library as it comes, with no setting changed."""
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = [
+        "end of file <|endoftext|> next", "<|endoftext|>", "a<|startoftext|>B<|endoftext|><|endoftext|> c.", "<|ENDOFTEXT|> x", "<|endoftext|",
+        "e<|endoftext|>\u0301", "It<|endoftext|>'s", "<|<|endoftext|>|>", "plain",
+    ]
+    rng = random.Random(9)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "Word", "don't", "É.", " ", "\n", "\u0301", "12", "日本"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 15))) for _ in range(300)]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_store.round_trip(table(list(enumerate(texts))), VOCABULARY).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == library.encode(text, add_special_tokens=False).ids + [2], repr(text)
