@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_fingerprints(spark, sf_dir):
-    return winnow.summary(table(spark, sf_dir, "documents"))
+    return winnow.summary(table(spark, sf_dir, "documents"), rolling=True)
 
 
 @query

@@ -1,11 +1,14 @@
 """Document fingerprints by winnowing, in Spark column expressions only.
 
-Tokens are the runs of a lower-cased text between ASCII white space, cut every ``TOKEN_CHARS``
-characters.  The hash of a k-gram is the cyclic polynomial of its token hashes, the value
+Tokens are the runs of a lower-cased text between ASCII white space.  With ``rolling`` a run over
+``TOKEN_CHARS`` characters, as in scripts without spaces, has a token at each character, the ``RUN_CHARS``
+characters from there on, so no token depends on where the run starts; without, it is cut every
+``TOKEN_CHARS`` characters.  The hash of a k-gram is the cyclic polynomial of its token hashes, the value
 that a rolling update gives; it is composed of two shorter k-grams each step, so
 a whole text takes a logarithmic number of array passes.  Window minima are composed the same way.  A
 minimum carries its position, and of equal hashes in a window the rightmost is chosen.  Any run
-of ``window + k - 1`` tokens that two texts share gives both at least one equal fingerprint.
+of ``window + k - 1`` tokens that two texts share gives both at least one equal fingerprint; inside long
+runs and with ``rolling`` that is a passage of ``window + k + RUN_CHARS - 2`` characters.
 
 The edited text of a document ends with the start of the next document (descending ``doc_id``).  Ids
 fall into blocks of ``BLOCK_IDS``; the top row of the next lower block joins each block as a copy, so
@@ -27,6 +30,7 @@ from tabsight.llm.common import stored, whole_text
 GRAM_TOKENS = 4
 WINDOW_GRAMS = 8
 TOKEN_CHARS = 32
+RUN_CHARS = 8
 POSITION_BITS = 30
 BLOCK_IDS = 128
 GROUP_BLOCKS = 4_096
@@ -43,11 +47,22 @@ def _from(array: Column, start: int) -> Column:
     return F.slice(array, start + 1, F.greatest(F.size(array) - start, F.lit(0)))
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS) -> DataFrame:
+def tokens(text: Column, rolling: bool) -> Column:
+    """Tokens of a text; group 1 is a whole short run, or the characters from a place in a long one."""
+    char = r"[^ \t\n\x0B\f\r]"
+    if not rolling:
+        return F.regexp_extract_all(F.lower(text), F.lit(f"{char}{{1,{TOKEN_CHARS}}}"), F.lit(0))
+    short = rf"(?<!{char}){char}{{1,{TOKEN_CHARS}}}+(?!{char})"
+    pattern = rf"(?=({short}|{char}{{1,{RUN_CHARS}}}+))(?:(?<!{char})\1(?!{char})|{char})"
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
+
+
+def with_fingerprint(
+    df: DataFrame, text: str, out: str, k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = False
+) -> DataFrame:
     """Adds ``<out>_hash`` (array of long) and ``<out>_pos`` (array of int): the chosen k-grams."""
     h, m, n = f"__{out}_h", f"__{out}_m", f"__{out}_n"
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"[^ \t\n\x0B\f\r]{{1,{TOKEN_CHARS}}}"), F.lit(0))
-    df = df.withColumn(f"__{out}_1", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn(f"__{out}_1", F.transform(tokens(F.col(text), rolling), lambda w: F.xxhash64(w)))
 
     def grams(df: DataFrame, length: int, have: dict[int, str]) -> tuple[DataFrame, str]:
         """H(a + b)[i] = H(a)[i] rotated by b, xor H(b)[i + a]; nothing stands behind the end."""
@@ -147,17 +162,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "text", "at.block", "at.is_copy", F.col("doc_id").isNull().alias("missing"))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = False
+) -> DataFrame:
     """``doc_id, fp_pos, fp_hash`` of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return with_fingerprint(rows, "text", "fp", k, window).select("doc_id", "fp_pos", "fp_hash")
+    return with_fingerprint(rows, "text", "fp", k, window, rolling).select("doc_id", "fp_pos", "fp_hash")
 
 
-def with_edits(docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS) -> DataFrame:
+def with_edits(
+    docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = False
+) -> DataFrame:
     """Each text, its edited text, both fingerprints and their likeness; one row for each input row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
     dealt = with_next(rows).repartition("block", "missing")
-    printed = with_fingerprint(dealt, "text", "fp", k, window)
+    printed = with_fingerprint(dealt, "text", "fp", k, window, rolling)
     order = Window.partitionBy("block", "missing").orderBy("is_copy", F.col("doc_id").desc(), "text")
     following = lambda c, empty: F.when(F.col("missing"), empty).otherwise(F.lead(c).over(order))
     paired = printed.withColumns(
@@ -171,12 +190,12 @@ def with_edits(docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next_text"), F.lit(1), cut)
     )
-    return with_fingerprint(paired.withColumn("edited", edited), "edited", "ed", k, window)
+    return with_fingerprint(paired.withColumn("edited", edited), "edited", "ed", k, window, rolling)
 
 
-def summary(docs: DataFrame) -> DataFrame:
+def summary(docs: DataFrame, rolling: bool = False) -> DataFrame:
     """Digest columns of ``with_edits``."""
-    return with_edits(docs).select(
+    return with_edits(docs, rolling=rolling).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written("fp").alias("fingerprint"), written("ed").alias("edited_fingerprint"),
         likeness(F.col("fp_hash"), F.col("ed_hash")).alias("near_edited"),

@@ -117,3 +117,39 @@ def test_edge_cases(table):
 def test_main_path_is_native(documents):
     plan = winnow.summary(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_shifted_passage_without_spaces_is_found(spark, table):
+    rng = random.Random(12)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)] + ["é", "🙂", "a"]
+    run = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    passage = run(1_000)
+    short = passage[500:518]  # window + k + RUN_CHARS - 2 characters
+    texts = [passage, "x" + passage, f"{run(77)}{short}{run(60)}", f"a b {run(40)}{short}{run(90)} c"]
+    rows = {r.doc_id: r.fp_hash for r in winnow.fingerprints(table(list(enumerate(texts))), rolling=True).collect()}
+    sets = [set(rows[i]) for i in range(4)]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.95
+    assert sets[2] & sets[3] and sets[0] & sets[2] and sets[0] & sets[3]
+
+
+def test_rolling_tokens(spark, table):
+    rng = random.Random(13)
+    space, texts = " \t\n\x0b\x0c\r", ["", " ", "One two", "x" * 32, "x" * 33, "Ab" * 20 + " end", "🙂é日" * 12, "a\u00a0b " + "日" * 40]
+    texts += ["".join("".join(rng.choice("abé日🙂") for _ in range(rng.randint(1, 50))) + rng.choice(space) for _ in range(9)) for _ in range(60)]
+
+    def plain(text):
+        for run in re.findall(r"[^ \t\n\x0b\x0c\r]+", text.lower()):
+            yield from [run] if len(run) <= 32 else [run[i : i + 8] for i in range(len(run))]
+
+    for row in table(list(enumerate(texts))).select("doc_id", winnow.tokens(F.col("text"), True).alias("t")).collect():
+        assert row.t == list(plain(texts[row.doc_id])), repr(texts[row.doc_id])
+
+
+def test_the_query_finds_shifted_passages(spark, table, tmp_path):
+    from tabsight.llm.queries import op1_fingerprints
+
+    rng = random.Random(14)
+    passage = "".join(rng.choice("的一是在不了有和人这中大为上个国我以要他") for _ in range(600))
+    table([(2, passage), (1, "x" + passage)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op1_fingerprints(spark, str(tmp_path)).collect()}
+    assert rows[2].near_next > 0.9
