@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tabsight.llm import (
     bpe,
     content_sort,
+    conversation_trie,
     langid,
     mixing,
+    packing,
     quality_rules,
     secret_scan,
     simhash,
@@ -24,6 +26,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # Shares of the training mix; missing and unnamed sources and languages share REST_SHARE, which goes to the named ones where there are none.
@@ -120,3 +123,14 @@ def op9_simhash(spark, sf_dir):
 @query
 def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op12_best_fit_packing(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie.trie(conversation_trie.rebuild(table(spark, sf_dir, "conversations")))
