@@ -16,6 +16,7 @@ from tabsight.llm import (
     quality_rules,
     secret_scan,
     simhash,
+    spelling,
     token_store,
     toxicity,
     winnow,
@@ -125,6 +126,11 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_best_fit_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
