@@ -10,10 +10,11 @@ every near word, and only they are merged; each pair is verified by its edit dis
 edit may touch every gram are met among themselves in the same way over pairs of letters, of which
 an edit touches two.
 
-Lists are keyed by gram, place and length.  A list over ``LIST_WORDS`` is cut, as the edit lies on one side of
-the gram and the letters on the other side are equal; a part that is still too long is cut again at
-the middle of the letters left open, down to one open letter.  No link is lost, no list is
-paired while it is long, and very long lists (at most ``1 / HOT_SHARE`` exist) are told apart by a broadcast of their keys.
+The edit lies to the right of such a gram, and then all letters up to its end are equal, or to the left, and then all
+from its start on; so each gram has two lists, keyed by the length and these letters.  A list over
+``LIST_WORDS`` is cut at the middle of the letters left open, again and again, down to one open letter.  No link
+is lost, no list is paired while it is long, and very long lists (at most ``1 / HOT_SHARE`` exist) are
+told apart by a broadcast of their keys.
 
 Defined cases: a missing or empty text has no words, a missing ``doc_id`` is the empty text in the noise
 digest; repeated rows count each time; ties of forms go to the smallest in code-point order; extra
@@ -28,7 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import stored, whole_text
@@ -45,7 +46,7 @@ FLUSH_WORDS = 200_000
 FORM_STEPS = 5  # doublings: a form is ten times as frequent, so no 64-bit count has over 18 steps
 LETTERS = r"[A-Za-zÀ-ÿ]"
 
-POSTING_SCHEMA = "word string, n long, kind string, long boolean, size int, at int, gram string"
+POSTING_SCHEMA = "word string, n long, long boolean, left int, right int"
 
 
 def _counted(rows: Iterator[Counter], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
@@ -166,63 +167,67 @@ class GramIndex:
                     gap[i] += 1
         return max(max(letter), max(gap))
 
-    def rare(self, word: str, grams: list[tuple[int, int]], n: int) -> list[tuple[int, str]]:
-        """The ``n`` rarest grams with their places, in one order for all words."""
+    def rare(self, word: str, grams: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+        """The ``n`` rarest grams, in one order for all words."""
         ordered = sorted((self.count.get(word[p : p + k], 0), word[p : p + k], p) for p, k in grams)
-        return [(p, gram) for _, gram, p in ordered[:n]]
+        return [(p, len(gram)) for _, gram, p in ordered[:n]]
 
-    def signature(self, word: str) -> Iterator[tuple[str, int, str]]:
-        """(index, place, gram) whose lists hold every near word."""
+    def signature(self, word: str) -> Iterator[tuple[int, int]]:
+        """(place, length) of the grams whose lists hold every near word."""
         grams = self.decompose(word)
         touched = self.touched(word, grams)
-        for p, gram in self.rare(word, grams, touched + 1):  # all of them, if an edit may touch each
-            yield "v", p, gram
+        yield from self.rare(word, grams, touched + 1)  # all of them, if an edit may touch each
         if touched >= len(grams):
-            pairs = [(p, SHORTEST) for p in range(len(word) - SHORTEST + 1)]
-            for p, gram in self.rare(word, pairs, SHORTEST + 1):
-                yield "p", p, gram
+            yield from self.rare(word, [(p, SHORTEST) for p in range(len(word) - SHORTEST + 1)], SHORTEST + 1)
+
+    def lists(self, word: str) -> set[tuple[bool, int, int]]:
+        """(long, left, right) of the lists of a word: how many letters are fixed at both ends.
+
+        A word is in lists of its own length, and as the long word in those of a length less: its gram then stands at
+        the same place of the shorter word (the edit is to the right) or one before (to the left).
+        """
+        size, out = len(word), set()
+        for p, k in self.signature(word):
+            out |= {(False, p + k, 0), (False, 0, size - p)}
+            if p + k < size:
+                out.add((True, p + k, 0))
+            if p:
+                out.add((True, 0, size - p))
+        return out
 
 
 def postings(vocabulary: DataFrame, index: GramIndex) -> DataFrame:
-    """A row for each list that a word is in: ``kind`` names the index and whether lengths are equal.
-
-    In lists of words that differ in length by one, ``size`` and ``at`` are those of the shorter word, so a longer
-    one stands at its own place (the edit is to the right) and one before (to the left).
-    """
+    """A row for each list that a word is in."""
     spark = vocabulary.sparkSession
     shared = spark.sparkContext.broadcast(index)  # bounded, see gram_dictionary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
-        names = ["word", "n", "kind", "long", "size", "at", "gram"]
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
         for batch in batches:
             for start in range(0, batch.num_rows, 2_048):
-                rows = []
                 part = batch.slice(start, 2_048)
-                for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()):
-                    size = len(word)
-                    for kind, p, gram in shared.value.signature(word):
-                        rows.append((word, n, kind + "=", False, size, p, gram))
-                        rows.append((word, n, kind + "+", False, size, p, gram))
-                        rows.append((word, n, kind + "+", True, size - 1, p, gram))
-                        if p:
-                            rows.append((word, n, kind + "+", True, size - 1, p - 1, gram))
-                columns = zip(*rows) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, kinds)], names=names)
+                rows = [
+                    (word, n, *where)
+                    for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()) for where in shared.value.lists(word)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), kinds)], names=LIST)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return vocabulary.repartition(parts, "word").mapInArrow(run, POSTING_SCHEMA)
 
 
-def _keyed(rows: DataFrame, fixed: list[Column]) -> DataFrame:
-    """Rows of ``word, n, kind, long, size, left, right`` with the key of their list and the number of open letters.
+LIST = ["word", "n", "long", "left", "right"]
 
-    The first ``left`` and the last ``right`` letters are equal in a list (besides what ``fixed`` adds).
-    """
-    return rows.withColumn("key", F.xxhash64("kind", "size", *fixed)).withColumn("open", F.col("size") - F.col("left") - F.col("right"))
 
+def _size():
+    """Length of the shorter words of a list."""
+    return F.length("word") - F.col("long").cast("int")
 
-LIST = ["word", "n", "kind", "long", "size", "left", "right"]
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows with the key of their list: its length and the letters fixed at both ends."""
+    ends = [F.col("left"), F.col("right"), F.expr("left(word, left)"), F.expr("right(word, right)")]
+    return rows.select(*LIST, F.xxhash64(_size(), *ends).alias("key"))
 
 
 def _by_size(lists: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -237,47 +242,33 @@ def _by_size(lists: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 def _verified(lists: DataFrame) -> DataFrame:
     """``x, nx, y, ny``: pairs of a list that are one edit apart."""
-    x = lists.select("key", F.col("word").alias("x"), F.col("n").alias("nx"), F.col("long").alias("lx"), F.col("kind").alias("kx"))
-    y = lists.select("key", F.col("word").alias("y"), F.col("n").alias("ny"), F.col("long").alias("ly"), F.col("kind").alias("ky"))
-    same = F.col("kx").endswith("=") & (F.col("x") < F.col("y"))
-    one = F.col("kx").endswith("+") & ~F.col("lx") & F.col("ly")
-    return x.join(y, "key").where((F.col("kx") == F.col("ky")) & (same | one) & (F.levenshtein("x", "y", 1) == 1)).select("x", "nx", "y", "ny")
+    x = lists.where("not long").select("key", F.col("word").alias("x"), F.col("n").alias("nx"))
+    y = lists.select("key", F.col("word").alias("y"), F.col("n").alias("ny"), "long")
+    return x.join(y, "key").where((F.col("long") | (F.col("x") < F.col("y"))) & (F.levenshtein("x", "y", 1) == 1)).select("x", "nx", "y", "ny")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
     """Rows of lists that are too long, in two narrower lists each: the edit is in one half of the open letters."""
-    half = F.greatest(F.floor(F.col("open") / 2), F.lit(1)).cast("int")
+    opened = _size() - F.col("left") - F.col("right")
+    half = F.greatest(F.floor(opened / 2), F.lit(1)).cast("int")
     ways = F.array(
         F.struct((F.col("left") + half).alias("left"), F.col("right").alias("right")),
-        F.struct(F.col("left").alias("left"), (F.col("right") + F.col("open") - F.when(F.col("open") > 1, half).otherwise(0)).alias("right")),
+        F.struct(F.col("left").alias("left"), (F.col("right") + opened - F.when(opened > 1, half).otherwise(0)).alias("right")),
     )
-    return _ends(rows.withColumn("way", F.explode(ways)).withColumns({"left": F.col("way.left"), "right": F.col("way.right")}))
-
-
-def _ends(rows: DataFrame) -> DataFrame:
-    ends = [F.col("left"), F.expr("left(word, left)"), F.expr("right(word, right)")]
-    return _keyed(rows.select(*LIST), ends).distinct()
+    return _keyed(rows.withColumn("way", F.explode(ways)).withColumns({"left": F.col("way.left"), "right": F.col("way.right")})).distinct()
 
 
 def near_pairs(vocabulary: DataFrame, list_words: int = LIST_WORDS) -> DataFrame:
     """``x, nx, y, ny``: every pair of words one edit apart, once, over ``word, n``."""
-    rows = postings(vocabulary, GramIndex(gram_dictionary(vocabulary)))
-    # The gram itself is the key of the first lists; nothing else is fixed yet.
-    lists = _keyed(rows.withColumns({"left": F.col("at"), "right": F.col("size") - F.col("at") - F.length("gram")}), [F.col("at"), F.col("gram")])
-    lists = stored(lists.select(*LIST, "key", "open"), "spelling-lists")
-    short, long = _by_size(lists, list_words)
-    found = [stored(_verified(short), "spelling-pairs")]
-    # The edit is to the right of the gram (all before it and the gram are equal) or to the left.
-    sides = F.array(
-        F.struct((F.col("size") - F.col("right")).alias("left"), F.lit(0).alias("right")),
-        F.struct(F.lit(0).alias("left"), (F.col("size") - F.col("left")).alias("right")),
-    )
-    lists = stored(_ends(long.withColumn("way", F.explode(sides)).withColumns({"left": F.col("way.left"), "right": F.col("way.right")})), "spelling-lists")
-    while not lists.isEmpty():
-        done = (F.col("open") <= 0) | ((F.col("open") == 1) & F.col("kind").endswith("="))  # at most an alphabet each
-        short, long = _by_size(lists.where(~done), list_words)
-        found.append(stored(_verified(short.unionByName(lists.where(done))), "spelling-pairs"))
-        lists = stored(_cut(long), "spelling-lists")
+    lists, found = stored(_keyed(postings(vocabulary, GramIndex(gram_dictionary(vocabulary)))), "spelling-lists"), []
+    opened = _size() - F.col("left") - F.col("right")
+    while not found or not lists.isEmpty():
+        short, long = _by_size(lists, list_words)
+        # With no letter open a list is one word and at most an alphabet of longer ones; with one open, at
+        # most an alphabet of words of its length, which are paired here, and the longer ones are cut once more.
+        ended = long.where(opened <= 0).unionByName(long.where((opened == 1) & ~F.col("long")))
+        found.append(stored(_verified(short.unionByName(ended)), "spelling-pairs"))
+        lists = stored(_cut(long.where(opened > 0)), "spelling-lists")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
