@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Long texts are cut at places where no match of the split pattern can cross, so each piece is
-encoded alone with the ids of the whole text and no regex call sees the whole text.
+encoded alone with the ids of the whole text.  A text without such places (a long one without ASCII marks
+or white space) is one piece.
 
 Defined cases: a missing or empty text has no ids; repeated rows and repeated ids are encoded
 row by row; extra columns of any name are ignored; an empty table gives an empty table.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +17,12 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without the setting (a local test) gets a temporary folder of its own.
+    A session in one process (a local test) without the setting gets a temporary folder; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tabsight-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -41,6 +44,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column has (column names do not tell cases apart)."""
+    taken = {x.lower() for x in df.columns}
+    out = []
+    for name in names:
+        while f"__{name}".lower() in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """``crc32(doc_id as text) mod n``; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import no_ascii_space, stored, whole_text
+from tabsight.llm.common import no_ascii_space, stored, unused, whole_text
 
 PREFIX_CHARS = 24
 ROW_SCHEMA = (
-    "doc_id long, text_sha256 string, keep_id long, size long, is_first boolean, part int, edge int, edge_rows int"
+    "doc_id long, points int, text_sha256 string, keep_id long, size long, is_first boolean, part int, edge int, edge_rows int"
 )
 
 
@@ -36,41 +36,43 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ``edge`` is 0 inside, 1 for the first run of the partition, 2 for the last, 3 for both.
     """
     part = TaskContext.get().partitionId()
-    names = ["doc_id", "text_sha256", "keep_id", "size", "is_first", "part", "edge", "edge_rows"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["doc_id", "points", "text_sha256", "keep_id", "size", "is_first", "part", "edge", "edge_rows"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
 
     def written(runs):
-        """Arrow rows of closed runs: (ids, digest, edge)."""
+        """Arrow rows of closed runs: (ids, points, digest, edge)."""
         out = [[] for _ in names]
-        for ids, digest, edge in runs:
+        for ids, points, digest, edge in runs:
             n = len(ids)
             for column, values in zip(out, (
-                ids, [digest] * n, [ids[0]] * n, [n] * n, [True] + [False] * (n - 1), [part] * n, [edge] * n,
+                ids, points, [digest] * n, [ids[0]] * n, [n] * n, [True] + [False] * (n - 1), [part] * n, [edge] * n,
                 [1] + [0] * (n - 1),
             )):
                 column.extend(values)
         return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(out, kinds)], names=names)
 
     ids: list = []
+    points: list = []
     text = digest = None
     first = True
     for batch in batches:
         closed = []
-        ids_in = batch.column("doc_id").to_pylist()
+        ids_in, points_in = batch.column("doc_id").to_pylist(), batch.column("points").to_pylist()
         digests_in = batch.column("text_sha256").to_pylist()
         texts_in = batch.column("norm")
         for i, doc_id in enumerate(ids_in):
             if digests_in[i] == digest and texts_in[i].as_py() == text:
                 ids.append(doc_id)
+                points.append(points_in[i])
                 continue
             if digest is not None:
-                closed.append((ids, digest, 1 if first else 0))
+                closed.append((ids, points, digest, 1 if first else 0))
                 first = False
-            ids, digest, text = [doc_id], digests_in[i], texts_in[i].as_py()
+            ids, points, digest, text = [doc_id], [points_in[i]], digests_in[i], texts_in[i].as_py()
         if closed:
             yield written(closed)
     if digest is not None:
-        yield written([(ids, digest, 3 if first else 2)])
+        yield written([(ids, points, digest, 3 if first else 2)])
 
 
 def _joined_edges(edges: list) -> list[tuple]:
@@ -91,6 +93,11 @@ def _joined_edges(edges: list) -> list[tuple]:
 
 def exact_groups(docs: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``, one row for each input row."""
+    return _groups(docs, text, partitions).drop("points")
+
+
+def _groups(docs: DataFrame, text: str, partitions: int | None = None) -> DataFrame:
+    """``exact_groups`` with the ``points`` (code points) of each row's own text."""
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = whole_text(text)
@@ -103,14 +110,14 @@ def exact_groups(docs: DataFrame, text: str = "text", partitions: int | None = N
     ]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     runs = stored(
-        dealt.select("doc_id", "text_sha256", "norm").mapInArrow(_neighbours, ROW_SCHEMA), "content-runs"
+        dealt.select("doc_id", "points", "text_sha256", "norm").mapInArrow(_neighbours, ROW_SCHEMA), "content-runs"
     )
     edges = runs.where("edge > 0 and edge_rows = 1").select("part", "edge", "text_sha256", "keep_id", "size").collect()
     whole = spark.createDataFrame(
         _joined_edges(edges), "part int, edge int, chain_id long, chain_size long, starts boolean"
     )
     return runs.join(F.broadcast(whole), ["part", "edge"], "left").select(
-        "doc_id",
+        "doc_id", "points",
         F.when(F.col("chain_size").isNull(), F.col("keep_id")).otherwise(F.col("chain_id")).alias("keep_id"),
         F.coalesce("chain_size", "size").alias("group_size"),
         (F.col("is_first") & F.coalesce("starts", F.lit(True))).alias("kept"),
@@ -119,12 +126,15 @@ def exact_groups(docs: DataFrame, text: str = "text", partitions: int | None = N
 
 
 def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that stay, with their columns."""
+    """The rows that stay, with their columns: each is known by its id, its text's digest and its own length."""
+    own, own_digest, own_points = unused(docs, "id", "digest", "points")
     digest = F.sha2(no_ascii_space(whole_text(text)).cast("binary"), 256)
     names = docs.columns
-    ids = exact_groups(docs, text).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
+    kept = _groups(docs, text).where("kept").select("doc_id", "text_sha256", "points")
+    marked = docs.select(
+        "*", F.col("doc_id").cast("long").alias(own), digest.alias(own_digest), F.length(whole_text(text)).alias(own_points)
+    )
+    same = (
+        marked[own].eqNullSafe(kept["doc_id"]) & (marked[own_digest] == kept["text_sha256"]) & (marked[own_points] == kept["points"])
     )
-    marked = docs.select("*", F.col("doc_id").cast("long").alias("__own"), digest.alias("__own_digest"))
-    same = marked["__own"].eqNullSafe(ids["__id"]) & (marked["__own_digest"] == ids["__digest"])
-    return marked.join(ids, same, "left_semi").dropDuplicates(["__own", "__own_digest"]).select(*names)
+    return marked.join(kept, same, "left_semi").dropDuplicates([own, own_digest, own_points]).select(*names)

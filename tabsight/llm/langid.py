@@ -7,7 +7,8 @@ machines on a bounded, documented sample of labelled rows; all machines are one
 
 Defined cases: a missing text or one without a letter is ``und`` with score 0; labels that are missing train
 nothing; a language of no known family is a family of its own; without any learned language every
-text is ``und``; repeated rows and ids are predicted row by row; extra columns are ignored.
+text is ``und``; repeated rows and ids are predicted row by row; extra columns are ignored; an empty table
+gives an empty table.  Every labelled language is learned, however many there are.
 """
 
 from __future__ import annotations
@@ -43,7 +44,6 @@ UNKNOWN = "und"
 BUCKET_BITS = 11
 ORDERS = (1, 2, 3)
 SAMPLE_ROWS = 600  # labelled rows of each language that the machines are fitted on
-MAX_LANGUAGES = 256
 ROWS_AT_ONCE = 128
 
 
@@ -121,11 +121,11 @@ def _sample(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list[str]
     rows = docs.where(F.col(lang).isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = {r.lang: min(1.0, SAMPLE_ROWS / r["count"]) for r in counts}
-    cut = F.lit(0)
-    for language, part in share.items():
-        cut = F.when(F.col("lang") == language, F.lit(int(part * (1 << 30)))).otherwise(cut)
+    counts = rows.groupBy("lang").count().collect()  # a row a language
+    share = {r.lang: int(min(1.0, SAMPLE_ROWS / r["count"]) * (1 << 30)) for r in counts}
+    if not share:
+        return rows, []
+    cut = F.try_element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang"))
     return rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < cut), sorted(share)
 
 

@@ -171,5 +171,11 @@ def mix(docs: DataFrame, targets: Targets, topic: Column | None = None) -> DataF
 
 
 def sample(docs: DataFrame, targets: Targets, topic: Column | None = None) -> DataFrame:
-    """The drawn documents, with their columns."""
-    return _weighted(docs, targets, topic).where(F.col("__draw") < F.col("__probability")).select(*docs.columns)
+    """The drawn documents, with their columns, whatever these are called."""
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    place = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    needed = {c: F.col(place[c]) for c in ("doc_id", "text", "source", "lang")}
+    if topic is not None:
+        return _weighted(docs, targets, topic).where(F.col("__draw") < F.col("__probability")).select(*docs.columns)
+    drawn = _weighted(numbered.withColumns(needed), targets, None).where(F.col("__draw") < F.col("__probability"))
+    return drawn.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -2,9 +2,10 @@
 
 Words and shingles follow the contract: A-Z lower-cased, words without ASCII white space,
 three-word shingles with repeats, XXH64 with seed 42, a bit set where over half the hashes set
-it.  Distinct fingerprints form a binary trie.  The trie is cut at a frontier of nodes that hold a
-bounded share each; node pairs within the bit budget are found from the root down, and each pair is
-traversed further inside one task: both nodes are split together, differing bits add up, and a
+it.  Distinct fingerprints form a binary trie.  The trie is cut at a frontier of nodes that hold at most
+``node_rows`` each: nodes over it after the first ``FRONTIER_BITS`` bits are counted again on their next bits, until
+all are small.  Node pairs within the bit budget are found from the root down, and each pair is
+traversed further inside one task: both nodes are split together bit by bit, differing bits add up, and a
 pair is dropped when they exceed the budget.  A task writes a spanning forest of its
 links, which keeps every component and no quadratic list.  Components come from label
 propagation with pointer jumping over stored tables.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import stored, whole_text
+from tabsight.llm.common import stored, unused, whole_text
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -33,6 +34,7 @@ MAX_BITS = 2
 NODE_ROWS = 4_096
 MAX_NODES = 4_096
 FRONTIER_BITS = 18
+NEXT_BITS = 10
 HASH_BLOCK = 1 << 16
 PAIR_BLOCK = 1 << 18
 
@@ -62,6 +64,11 @@ def fingerprint_of(text: str, shingle: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, bits``: the fingerprint as a signed long, one row for each input row."""
+    return _printed(docs, text, shingle).select("doc_id", "bits")
+
+
+def _printed(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``fingerprints`` with ``text_hash``, which tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,11 +77,14 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WOR
                 (fingerprint_of(texts[i].as_py(), shingle) for i in range(len(texts))), dtype=np.uint64, count=len(texts)
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "bits"]
+                [batch.column("doc_id"), pa.array(values.view(np.int64)), batch.column("text_hash")],
+                names=["doc_id", "bits", "text_hash"],
             )
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, bits long")
+    picked = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"), F.xxhash64(whole_text(text)).alias("text_hash")
+    )
+    return picked.mapInArrow(run, "doc_id long, bits long, text_hash long")
 
 
 def prefix_column(bits: str, depth: int):
@@ -133,28 +143,27 @@ def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int
     return sorted(set(out))
 
 
-CHUNK = 8
-_POP8 = np.array([bin(i).count("1") for i in range(256)], dtype=np.int8)
+LEVELS = 64
 
 
 def linked(left: np.ndarray, right: np.ndarray, same: bool, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of two sorted key arrays within ``budget`` bits, by descending both tries together.
 
-    Each step takes eight bits: children of a node are ranges of the sorted keys, a node pair becomes
+    Each step takes one bit: children of a node are ranges of the sorted keys, a node pair becomes
     the pairs of their children, and those over the budget are dropped.  Pairs are
     walked depth first in blocks, so memory stays bounded.
     """
 
     def starts(keys, level):
-        """Where the first ``level + 1`` bytes change: the children of all nodes at a level."""
-        heads = keys >> np.uint64(64 - CHUNK * (level + 1))
+        """Where the first ``level + 1`` bits change: the children of all nodes at a level."""
+        heads = keys >> np.uint64(LEVELS - level - 1)
         return np.concatenate(([0], np.flatnonzero(heads[1:] != heads[:-1]) + 1, [len(keys)]))
 
-    tables = [(starts(left, k), starts(right, k)) for k in range(64 // CHUNK)]
+    tables = [(starts(left, k), starts(right, k)) for k in range(LEVELS)]
     stack = [(0, np.array([0]), np.array([len(left)]), np.array([0]), np.array([len(right)]), np.array([0], dtype=np.int8))]
     while stack:
         level, alo, ahi, blo, bhi, diff = stack.pop()
-        if level == 64 // CHUNK:
+        if level == LEVELS:
             yield alo, blo
             continue
         cuts_a, cuts_b = tables[level]
@@ -170,61 +179,125 @@ def linked(left: np.ndarray, right: np.ndarray, same: bool, budget: int) -> Iter
         pair = np.repeat(np.arange(len(total)), total)
         inside = np.arange(len(pair)) - np.repeat(np.cumsum(total) - total, total)
         ia, ib = fa[pair] + inside // nb[pair], fb[pair] + inside % nb[pair]
-        shift = np.uint64(64 - CHUNK * (level + 1))
+        shift = np.uint64(LEVELS - level - 1)
         xa, xb = left[cuts_a[ia]] >> shift, right[cuts_b[ib]] >> shift
-        new = diff[pair] + _POP8[((xa ^ xb) & np.uint64(255)).astype(np.int64)]
+        new = diff[pair] + ((xa ^ xb) & np.uint64(1)).astype(np.int8)
         keep = new <= budget
         if same:  # each unordered pair once, a key never with itself at the end
-            keep &= (cuts_a[ia] <= cuts_b[ib]) if level < 64 // CHUNK - 1 else (cuts_a[ia] < cuts_b[ib])
+            keep &= (cuts_a[ia] <= cuts_b[ib]) if level < LEVELS - 1 else (cuts_a[ia] < cuts_b[ib])
         ia, ib, new = ia[keep], ib[keep], new[keep]
         if len(ia):
             stack.append((level + 1, cuts_a[ia], cuts_a[ia + 1], cuts_b[ib], cuts_b[ib + 1], new))
 
 
 def _forest(keys_a, keys_b, same, budget):
-    """A spanning forest of the links between two sorted key arrays, as key pairs."""
-    parent: dict[int, int] = {}
+    """A spanning forest of the links between two sorted key arrays, as key pairs.
+
+    Links come in blocks; those within one tree so far are dropped as arrays, so the loop runs over
+    links that may join two trees only.
+    """
+    keys = keys_a if same else np.union1d(keys_a, keys_b)
+    place_a, place_b = np.searchsorted(keys, keys_a), np.searchsorted(keys, keys_b)
+    parent, out = np.arange(len(keys)), []
 
     def root(x):
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    out = []
     for i, j in linked(keys_a, keys_b, same, budget):
-        for a, b in zip(keys_a[i].tolist(), keys_b[j].tolist()):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                out.append((a, b))
+        i, j = place_a[i], place_b[j]
+        while True:
+            flat = parent[parent]
+            if (flat == parent).all():
+                break
+            parent[:] = flat
+        apart = np.flatnonzero(parent[i] != parent[j])
+        # Of the links between the same two trees the first is enough.
+        _, once = np.unique(np.stack([np.minimum(parent[i[apart]], parent[j[apart]]), np.maximum(parent[i[apart]], parent[j[apart]])]), axis=1, return_index=True)
+        for x, y in zip(i[apart[once]].tolist(), j[apart[once]].tolist()):
+            rx, ry = root(x), root(y)
+            if rx != ry:
+                parent[max(rx, ry)] = min(rx, ry)
+                out.append((int(keys[x]), int(keys[y])))
     return out
 
 
+def _cut_nodes(keys: DataFrame, node_rows: int, depth: int) -> list[tuple[int, int]]:
+    """(depth, prefix) of disjoint trie nodes of at most ``node_rows`` distinct fingerprints each.
+
+    Nodes that are still too large are counted on their next bits; the driver sees the counts of
+    at most 2 ** NEXT_BITS children of each of those, of which total / node_rows exist at most.
+    """
+    spark = keys.sparkSession
+    counts = {r.leaf: r["count"] for r in keys.groupBy(prefix_column("bits", depth).cast("long").alias("leaf")).count().collect()}
+    nodes, todo = [], [(0, 0, depth, counts)]
+    while todo:
+        large = []
+        for d, prefix, step, own in todo:
+            for k, p in frontier(own, step, node_rows):
+                node = (d + k, prefix << k | p)
+                if k == step and own[p] > node_rows and node[0] < LEVELS:
+                    large.append(node)
+                else:
+                    nodes.append(node)
+        todo = []
+        for d in sorted({d for d, _ in large}):  # nodes of one depth at a time
+            step = min(NEXT_BITS, LEVELS - d)
+            some = spark.createDataFrame([(_signed(p, d),) for k, p in large if k == d], "head long")
+            inside = F.shiftrightunsigned(F.shiftleft("bits", d), LEVELS - step)
+            found = (
+                keys.withColumn("head", F.shiftrightunsigned("bits", LEVELS - d)).join(F.broadcast(some), "head")
+                .groupBy("head", inside.alias("leaf")).count().collect()
+            )
+            by_head: dict[int, dict[int, int]] = {}
+            for r in found:
+                by_head.setdefault(r.head, {})[r.leaf] = r["count"]
+            todo += [(d, p, step, by_head[_signed(p, d)]) for k, p in large if k == d]
+    return nodes
+
+
+def _signed(prefix: int, depth: int) -> int:
+    """The prefix as the long that a logical shift gives."""
+    return prefix - (1 << 64) if depth == LEVELS and prefix >= 1 << 63 else prefix
+
+
 def links(keys: DataFrame, budget: int = MAX_BITS, node_rows: int = NODE_ROWS) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``bits``) that keep every component.
 
-    The driver sees at most 2 ** FRONTIER_BITS prefix counts and the pairs of at most about
-    2 * MAX_NODES frontier nodes, whatever the corpus size; node sizes grow instead.
+    The driver sees prefix counts and the pairs of at most about 2 * MAX_NODES frontier nodes, whatever the
+    corpus size; the size that nodes may have grows instead, and each is held by one task at a time.
     """
     spark = keys.sparkSession
     total = keys.count()
     node_rows = max(node_rows, total // MAX_NODES)
     depth = min(FRONTIER_BITS, max(4, math.ceil(math.log2(max(1, total / node_rows))) + 6))
-    leaf = prefix_column("bits", depth)
-    counts = {r.leaf: r["count"] for r in keys.groupBy(leaf.alias("leaf")).count().collect()}
-    nodes = frontier(counts, depth, node_rows)
-    span = {i: range(p << (depth - d), (p + 1) << (depth - d)) for i, (d, p) in enumerate(nodes)}
-    leaves = [(x, i) for i, r in span.items() for x in r if x in counts]
-    sides = []
-    for k, (a, b) in enumerate(node_pairs(nodes, budget)):
-        sides += [(a, k, 0, a == b)] if a == b else [(a, k, 0, False), (b, k, 1, False)]
-    node_of_leaf = spark.createDataFrame(leaves, "leaf int, node int")
-    pairs_of_node = spark.createDataFrame(sides, "node int, pair int, side int, same boolean")
-    dealt = (
-        keys.withColumn("leaf", leaf).join(F.broadcast(node_of_leaf), "leaf")
-        .join(F.broadcast(pairs_of_node), "node").select("pair", "side", "same", "bits")
-    )
+    nodes = sorted(_cut_nodes(keys, node_rows, depth), key=lambda n: n[1] << (LEVELS - n[0]))
+    pairs = node_pairs(nodes, budget)
+    takers: list[list[tuple[int, int, bool]]] = [[] for _ in nodes]  # (pair, side, same) of each node
+    for k, (a, b) in enumerate(pairs):
+        takers[a].append((k, 0, a == b))
+        if a != b:
+            takers[b].append((k, 1, False))
+    starts = np.array([p << (LEVELS - d) for d, p in nodes], dtype=np.uint64)
+    shared = spark.sparkContext.broadcast((starts, takers))  # as many rows as node pairs
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, takers = shared.value
+        for batch in batches:
+            bits = batch.column("bits").to_numpy()
+            node = np.searchsorted(starts, bits.view(np.uint64), side="right") - 1
+            order = np.argsort(node, kind="stable")
+            cuts = np.flatnonzero(np.diff(node[order], prepend=-1))
+            for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+                own = bits[order[lo:hi]]
+                for k, side, same in takers[node[order[lo]]]:
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, k, dtype=np.int32)), pa.array(np.full(n, side, dtype=np.int32)), pa.array(np.full(n, same)), pa.array(own)],
+                        names=["pair", "side", "same", "bits"],
+                    )
 
     def run(pdf):
         import pandas as pd
@@ -238,6 +311,8 @@ def links(keys: DataFrame, budget: int = MAX_BITS, node_rows: int = NODE_ROWS) -
         flat = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": flat[:, 0], "b": flat[:, 1]})
 
+    # Sorted by node, a partition hands out few large batches.
+    dealt = keys.select("bits").sortWithinPartitions("bits").mapInArrow(deal, "pair int, side int, same boolean, bits long")
     return dealt.groupBy("pair").applyInPandas(run, "a long, b long")
 
 
@@ -274,7 +349,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
     """``doc_id, bits, component_id``, one row for each input row."""
-    rows = stored(fingerprints(docs, text, shingle), "simhash")
+    return _grouped(docs, text, shingle, budget).drop("text_hash")
+
+
+def _grouped(docs: DataFrame, text: str, shingle: int, budget: int) -> DataFrame:
+    rows = stored(_printed(docs, text, shingle), "simhash")
     keys = stored(rows.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "simhash-keys")
     labels = components(stored(links(keys, budget), "simhash-links"), "simhash-labels")
     named = keys.join(labels.withColumnRenamed("node", "bits"), "bits", "left").select(
@@ -283,7 +362,7 @@ def near_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORD
     named = stored(named, "simhash-named")
     ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     whole = stored(named.join(ids, "label").select("bits", "component_id"), "simhash-components")
-    return rows.join(whole, "bits").select("doc_id", "bits", "component_id")
+    return rows.join(whole, "bits").select("doc_id", "bits", "component_id", "text_hash")
 
 
 def fingerprint_text(bits: str = "bits"):
@@ -292,11 +371,12 @@ def fingerprint_text(bits: str = "bits"):
 
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = SHINGLE_WORDS, budget: int = MAX_BITS) -> DataFrame:
-    """The documents that name their component, with their columns; one of repeated rows."""
-    names = docs.columns
-    ids = near_groups(docs, text, shingle, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    marked = docs.select(
-        "*", F.col("doc_id").cast("long").alias("__own"), F.xxhash64(whole_text(text)).alias("__text_hash")
-    )
-    kept = marked.join(ids.select(F.col("doc_id").alias("__id")), F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__own", "__text_hash"]).select(*names)
+    """The documents that name their component, with their columns; one of repeated rows.
+
+    A row is known by its id and text, so of rows with one id only those of the component that the id names stay.
+    """
+    own, own_hash = unused(docs, "id", "text_hash")
+    kept = _grouped(docs, text, shingle, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash")
+    marked = docs.select("*", F.col("doc_id").cast("long").alias(own), F.xxhash64(whole_text(text)).alias(own_hash))
+    same = marked[own].eqNullSafe(kept["doc_id"]) & (marked[own_hash] == kept["text_hash"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([own, own_hash]).select(*docs.columns)

@@ -16,7 +16,8 @@ passes over the texts alone, and the evidence of a row is summed over the parts.
 Defined cases: an empty or missing text, or one of a single character, scores by its few or no positions (no position: the
 prior of the calibration rows); rows without a label, or with labels for one class only, train nothing
 (then every score is the prior); repeated label rows of a document count once; repeated
-documents count each time; extra columns are kept by ``drop_toxic`` and ignored elsewhere.
+documents count each time; extra columns are kept by ``drop_toxic`` and ignored elsewhere; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import stored, whole_text
+from tabsight.llm.common import stored, unused, whole_text
 
 ORDER = 4
-CODE_BITS = 12
+CODE_BITS = 15
 DISCOUNT = 0.75
 DEAD_ZONE = 1.5
 PART_ENTRIES = 4_000_000
@@ -41,25 +42,58 @@ CALIBRATION_ROWS = 50_000
 BROADCAST_LABELS = 2_000_000
 
 
-def _codes() -> np.ndarray:
-    """12-bit code of each code point below 65,536: digits are one code, white space is one."""
-    points = np.arange(1 << 16, dtype=np.int64)
-    out = np.where(points < 2048, points, 2048 + (points * 40_503 >> 4) % 2048)
-    out[[*range(9, 14), 0x85, 0xA0]] = 32
-    out[48:58] = 48
-    return out
+class Alphabet:
+    """A code for each character of the training texts; 0 is any other character, white space and digits have one each.
+
+    Characters beyond ``2 ** CODE_BITS - 4``, rarest last, share the last code; no script comes near that.
+    """
+
+    SPACE, DIGIT, FIRST = 1, 2, 3
+    SPACES = [*range(9, 14), 32, 0x85, 0xA0]
+
+    def __init__(self, points: list[int]):
+        plain = [p for p in points if p not in self.SPACES and not 48 <= p < 58]
+        self.points, self.table = np.array(plain, dtype=np.int64), None
+
+    def __len__(self) -> int:
+        return min(len(self.points) + self.FIRST, 1 << CODE_BITS)
+
+    def __getstate__(self):
+        return {"points": self.points, "table": None}
 
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = np.zeros(0x110000, dtype=np.int64)
+            self.table[self.points] = np.minimum(np.arange(len(self.points)) + self.FIRST, (1 << CODE_BITS) - 1)
+            self.table[self.SPACES], self.table[48:58] = self.SPACE, self.DIGIT
+        return self.table[points]
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
+
+
+def alphabet(rows: DataFrame) -> Alphabet:
+    """The characters of all texts, most frequent first; at most one row a code point is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, dtype=np.int64)
+        for batch in batches:
+            for held in _batches(t.lower() for t in batch.column("text").to_pylist()):
+                points, n = np.unique(_points(held), return_counts=True)
+                total[points] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["point", "n"])
 
-CODES = _codes()
+    counted = rows.select("text").mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    return Alphabet([r.point for r in sorted(counted.collect(), key=lambda r: (-r.n, r.point))])
 
 
-def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def coded(texts: list[str], letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts, each after ORDER - 1 spaces, and the length of each text."""
     pad = " " * (ORDER - 1)
     lowered = [t.lower() for t in texts]
-    points = np.frombuffer("".join(pad + t for t in lowered).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
-    codes = CODES[np.minimum(points, 65_535)] if len(points) else points
-    return codes, np.array([len(t) for t in lowered], dtype=np.int64)
+    return letters.codes(_points([pad + t for t in lowered])), np.array([len(t) for t in lowered], dtype=np.int64)
 
 
 def grams(codes: np.ndarray, order: int) -> np.ndarray:
@@ -89,7 +123,7 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BLOCK_ROWS)
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
+def gram_counts(rows: DataFrame, letters: Alphabet) -> DataFrame:
     """``gram, n0, n1`` over all rows of ``text, label``: counts at the highest order by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +132,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             texts = batch.column("text")
             for cls in (0, 1):
                 for held in _batches(texts[i].as_py() for i, x in enumerate(labels) if x == cls):
-                    codes, lengths = coded(held)
+                    codes, lengths = coded(held, letters)
                     inside = np.ones(len(codes), dtype=bool)
                     starts = np.cumsum(lengths + ORDER - 1) - lengths - (ORDER - 1)
                     for k in range(ORDER - 1):
@@ -113,7 +147,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def levels(counts: DataFrame) -> dict[int, DataFrame]:
+def levels(counts: DataFrame, letters: int = 1 << CODE_BITS) -> dict[int, DataFrame]:
     """For each order 2..ORDER: ``gram, n, ratio, ctx, back``; log ratios toxic to ordinary.
 
     ``ratio`` is that of a seen n-gram, ``back`` what an unseen follower of its context adds.
@@ -129,7 +163,7 @@ def levels(counts: DataFrame) -> dict[int, DataFrame]:
             "kn-counts",
         ).select("gram", "n0", "n1", *(["any"] if k == 1 else []))
     total = seen[1].agg(F.coalesce(F.sum("any"), F.lit(0)).alias("n")).first().n
-    share = (F.col("any") + 0.5) / F.lit(float(total + 0.5 * (1 << CODE_BITS)))  # the shared backoff
+    share = (F.col("any") + 0.5) / F.lit(float(total + 0.5 * letters))  # the shared backoff
     lower = seen[1].select("gram", share.alias("p0"), share.alias("p1"))
     out = {}
     for k in range(2, ORDER + 1):
@@ -191,14 +225,14 @@ def _found(key: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
 class Part:
     """All n-grams whose middle codes lie in ``low <= third << CODE_BITS | second < high``."""
 
-    def __init__(self, tables: dict, low: int = 0, high: int = 1 << 2 * CODE_BITS):
-        self.tables, self.low, self.high = tables, low, high
+    def __init__(self, tables: dict, letters: Alphabet, low: int = 0, high: int = 1 << 2 * CODE_BITS):
+        self.tables, self.letters, self.low, self.high = tables, letters, low, high
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Length-normalised log ratio of each text, toxic to ordinary, from the positions of this part."""
         out = []
         for held in _batches(iter(texts)):
-            codes, lengths = coded(held)
+            codes, lengths = coded(held, self.letters)
             ratios = np.concatenate(
                 [self._ratios(codes[at : at + BLOCK_CHARS + ORDER - 1]) for at in range(0, max(1, len(codes) - ORDER + 1), BLOCK_CHARS)]
             )
@@ -259,7 +293,7 @@ def _middle(gram: Column, behind: int) -> Column:
 def _ranges(by_level: dict[int, DataFrame]) -> list[tuple[int, int]]:
     """Ranges of middle codes with about PART_ENTRIES n-grams each; none without n-grams.
 
-    At most one row a pair of codes is read, 2 ** 24 by their width.
+    The cuts are quantiles of the pairs of middle codes, so one number a part is read.
     """
     total, end = sum(level.count() for level in by_level.values()), 1 << 2 * CODE_BITS
     if total <= PART_ENTRIES:
@@ -267,18 +301,14 @@ def _ranges(by_level: dict[int, DataFrame]) -> list[tuple[int, int]]:
     middles = by_level[ORDER].select(_middle(F.col("gram"), 1).alias("middle"))
     for k in range(3, ORDER):
         middles = middles.union(by_level[k].select(_middle(F.col("gram"), 1)))
-    sizes = middles.groupBy("middle").count().orderBy("middle").toArrow()
-    middle, size = sizes["middle"].to_numpy(), sizes["count"].to_numpy()
-    cuts, held = [0], 0
-    for at, n in zip(middle.tolist(), size.tolist()):
-        if held and held + n > PART_ENTRIES:
-            cuts.append(at)
-            held = 0
-        held += n
+    parts = -(-total // PART_ENTRIES)
+    places = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = middles.agg(F.percentile_approx("middle", places, 100_000).alias("cuts")).first().cuts
+    cuts = sorted({0, *(found or [])})
     return list(zip(cuts, [*cuts[1:], end]))
 
 
-def _parts(by_level: dict[int, DataFrame]) -> list:
+def _parts(by_level: dict[int, DataFrame], letters: Alphabet) -> list:
     """Broadcasts of the parts; the driver holds the tables of one part at a time."""
     context = by_level[ORDER].sparkSession.sparkContext
 
@@ -300,7 +330,7 @@ def _parts(by_level: dict[int, DataFrame]) -> list:
             tables["ratio", k] = table(level, "gram", "ratio", k, 1, low, high)
             contexts = level.groupBy("ctx").agg(F.first("back").alias("back"))
             tables["back", k] = table(contexts, "ctx", "back", k, 0, low, high)
-        out.append(context.broadcast(Part(tables, low, high)))
+        out.append(context.broadcast(Part(tables, letters, low, high)))
     return out
 
 
@@ -361,38 +391,41 @@ def train(rows: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     ``calibration_rows`` rows at most; then its n-grams are added, so the final counts have all rows.
     """
     apart = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(8)) == 0
-    counts = stored(gram_counts(rows.where(~apart)), "kn-counts")
-    first = Model(_parts(levels(counts)))
+    letters = alphabet(rows)
+    counts = stored(gram_counts(rows.where(~apart), letters), "kn-counts")
+    first = Model(_parts(levels(counts, len(letters)), letters))
     picked, rate = calibration(rows.where(apart), calibration_rows)
     held = evidence(picked.select("text", "label"), first).toArrow()
     x, y = held["evidence"].to_numpy(), held["label"].to_numpy().astype(float)
     slope, offset = _fit_line(x, y, rate)
     for part in first.parts:
         part.unpersist()
-    both = counts.union(gram_counts(rows.where(apart))).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return Model(_parts(levels(both)), max(slope, 0.0), offset)
+    both = counts.union(gram_counts(rows.where(apart), letters)).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return Model(_parts(levels(both, len(letters)), letters), max(slope, 0.0), offset)
 
 
-def _summed(rows: DataFrame, model: Model, text: str) -> DataFrame:
-    """``rows`` with ``__evidence``: one pass of the texts for each part, summed by row."""
-    held = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "toxicity-rows")
+def _summed(rows: DataFrame, model: Model, text: str) -> tuple[DataFrame, str]:
+    """``rows`` with their evidence, and its column: one pass of the texts for each part, summed by row."""
+    row, total = unused(rows, "row", "evidence_of_row")
+    held = stored(rows.withColumn(row, F.monotonically_increasing_id()), "toxicity-rows")
     passes = None
     for part in model.parts:
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             for batch in small(batches):
                 found = part.value.evidence([t or "" for t in batch.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(found)], names=["__row", "__evidence"])
+                yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(found)], names=[row, total])
 
-        once = held.select("__row", text).mapInArrow(run, "__row long, __evidence double")
+        once = held.select(row, text).mapInArrow(run, f"{row} long, {total} double")
         passes = once if passes is None else passes.union(once)
-    sums = stored(passes.groupBy("__row").agg(F.sum("__evidence").alias("__evidence")), "toxicity-evidence")
-    return held.join(sums, "__row").drop("__row")
+    sums = stored(passes.groupBy(row).agg(F.sum(total).alias(total)), "toxicity-evidence")
+    return held.join(sums, row).drop(row), total
 
 
 def evidence(rows: DataFrame, model: Model) -> DataFrame:
     if len(model.parts) > 1:
-        return _summed(rows.select("text", "label"), model, "text").select("label", F.col("__evidence").alias("evidence"))
+        summed, total = _summed(rows.select("text", "label"), model, "text")
+        return summed.select("label", F.col(total).alias("evidence"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -408,7 +441,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``doc_id, score``, one row for each input row."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
     if len(model.parts) > 1:
-        return _summed(picked, model, "text").select("doc_id", model.score(F.col("__evidence")).alias("score"))
+        summed, total = _summed(picked, model, "text")
+        return summed.select("doc_id", model.score(F.col(total)).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -423,7 +457,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows whose score is under the threshold, with all their columns; no shuffle of texts for one part."""
     if len(model.parts) > 1:
-        return _summed(docs, model, text).where(model.score(F.col("__evidence")) < threshold).select(*docs.columns)
+        summed, total = _summed(docs, model, text)
+        return summed.where(model.score(F.col(total)) < threshold).select(*docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -58,7 +58,7 @@ def tokens(text: Column, rolling: bool) -> Column:
 
 
 def with_fingerprint(
-    df: DataFrame, text: str, out: str, k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = False
+    df: DataFrame, text: str, out: str, k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = True
 ) -> DataFrame:
     """Adds ``<out>_hash`` (array of long) and ``<out>_pos`` (array of int): the chosen k-grams."""
     h, m, n = f"__{out}_h", f"__{out}_m", f"__{out}_n"
@@ -163,7 +163,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(
-    docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = False
+    docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = True
 ) -> DataFrame:
     """``doc_id, fp_pos, fp_hash`` of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
@@ -171,7 +171,7 @@ def fingerprints(
 
 
 def with_edits(
-    docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = False
+    docs: DataFrame, text: str = "text", k: int = GRAM_TOKENS, window: int = WINDOW_GRAMS, rolling: bool = True
 ) -> DataFrame:
     """Each text, its edited text, both fingerprints and their likeness; one row for each input row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
@@ -193,7 +193,7 @@ def with_edits(
     return with_fingerprint(paired.withColumn("edited", edited), "edited", "ed", k, window, rolling)
 
 
-def summary(docs: DataFrame, rolling: bool = False) -> DataFrame:
+def summary(docs: DataFrame, rolling: bool = True) -> DataFrame:
     """Digest columns of ``with_edits``."""
     return with_edits(docs, rolling=rolling).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),

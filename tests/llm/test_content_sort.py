@@ -58,3 +58,12 @@ def test_missing_ids_and_repeated_rows(table):
         ("None", "None", 2, True),
     ]
     assert sorted(str(r.doc_id) for r in content_sort.drop_copies(docs).collect()) == ["2", "None"]
+
+
+def test_of_rows_with_one_id_the_longest_stays(table):
+    docs = table([(1, "ab"), (1, "a b"), (2, "a  b"), (2, "z")])
+    assert [(r.doc_id, r.text) for r in content_sort.drop_copies(docs.where("doc_id = 1")).collect()] == [(1, "a b")]
+    clash = docs.withColumns({c: F.lit(7) for c in ("__id", "__digest", "points", "__points", "part", "edge", "size")})
+    kept = content_sort.drop_copies(clash)
+    assert kept.columns == clash.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "a  b"), (2, "z")]

@@ -1,5 +1,6 @@
 """Trained operators: language, quality, toxicity; held-out accuracy and defined cases."""
 
+import math
 import random
 
 import numpy as np
@@ -83,23 +84,70 @@ def test_long_texts_are_scored_in_blocks(rated, monkeypatch):
     assert np.allclose(model.scores(text), want, atol=1e-5)
 
 
-def test_counts_match_a_plain_count(spark):
-    got = {r.gram: (r.n0, r.n1) for r in toxicity.gram_counts(rows_of(spark, [("ab", 0), ("ab ab", 1), ("", 1)])).collect()}
-    want: dict = {}
-    for text, y in (("ab", 0), ("ab ab", 1)):
-        padded = " " * 3 + text
+def plain_kneser_ney(rows):
+    """Log ratio toxic to ordinary of a position, by dictionaries over characters."""
+    pad, fold = " " * 3, lambda t: "".join(" " if c in " \t\n" else "0" if c in "0123456789" else c for c in t.lower())
+    counts = {n: {} for n in (1, 2, 3, 4)}
+    for text, y in rows:
+        padded = pad + fold(text)
         for i in range(3, len(padded)):
-            key = 0
-            for c in padded[i - 3 : i + 1]:
-                key = key << 12 | ord(c)
-            n = want.setdefault(key, [0, 0])
-            n[y] += 1
-    assert got == {k: tuple(v) for k, v in want.items()}
+            counts[4].setdefault(padded[i - 3 : i + 1], [0, 0])[y] += 1
+    for n in (3, 2, 1):  # distinct left neighbours by class
+        for gram, c in counts[n + 1].items():
+            own = counts[n].setdefault(gram[1:], [0, 0])
+            for y in (0, 1):
+                own[y] += c[y] > 0
+    left = {}
+    for gram in counts[2]:
+        left[gram[1]] = left.get(gram[1], 0) + 1
+    letters = len({c for text, _ in rows for c in fold(text)} - {" ", "0"}) + 3
+    total = sum(left.values())
+    sums = {n: {} for n in (2, 3, 4)}
+    for n in sums:
+        for gram, c in counts[n].items():
+            s = sums[n].setdefault(gram[:-1], [[0, 0], [0, 0]])
+            for y in (0, 1):
+                s[y][0] += c[y]
+                s[y][1] += c[y] > 0
+
+    def p(gram, y):
+        if len(gram) == 1:
+            return (left.get(gram, 0) + 0.5) / (total + 0.5 * letters)
+        lower = p(gram[1:], y)
+        n, kinds = sums[len(gram)].get(gram[:-1], [[0, 0], [0, 0]])[y]
+        if n == 0:
+            return lower
+        c = counts[len(gram)].get(gram, [0, 0])[y]
+        return max(c - 0.75, 0) / n + 0.75 * kinds / n * lower
+
+    def evidence(text):
+        padded, out = pad + fold(text), 0.0
+        for i in range(3, len(padded)):
+            ratio = math.log(p(padded[i - 3 : i + 1], 1) / p(padded[i - 3 : i + 1], 0))
+            out += ratio if abs(ratio) > toxicity.DEAD_ZONE else 0.0
+        return out / max(1, len(text)) ** 0.5
+
+    return evidence
+
+
+def test_evidence_matches_plain_kneser_ney(spark):
+    """Characters of every plane keep their own codes; the second class shares its backoff."""
+    rng = random.Random(9)
+    letters = "abcdé日本語丁丂🙂🙃𠀀𠀁 0 7\t"
+    rows = [("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))), int(i % 3 == 0)) for i in range(150)]
+    known = toxicity.alphabet(rows_of(spark, rows))
+    own = known.codes(toxicity._points(list("日本語丁丂🙂🙃𠀀𠀁é")))
+    assert len(set(own.tolist())) == 10 and (own >= 3).all()
+    counts = toxicity.gram_counts(rows_of(spark, rows), known)
+    model = toxicity.Model(toxicity._parts(toxicity.levels(counts, len(known)), known))
+    plain = plain_kneser_ney(rows)
+    texts = [t for t, _ in rows[:40]] + ["日本語 🙂 丂丁" * 5, "never seen ü", ""]
+    assert np.allclose(model.evidence(texts), [plain(t) for t in texts], atol=1e-4)
 
 
 def test_probabilities_sum_to_one(rated):
     """The seen followers of a context never take more than the whole mass of a class."""
-    levels = toxicity.levels(toxicity.gram_counts(rated))
+    levels = toxicity.levels(toxicity.gram_counts(rated, toxicity.alphabet(rated)))
     top = levels[2].toPandas()
     for _, group in top.groupby("ctx"):
         assert group.p0.sum() <= 1 + 1e-9 and group.p1.sum() <= 1 + 1e-9
@@ -147,8 +195,9 @@ def test_quality_without_labels(spark, table):
 def test_every_gram_scores_in_one_table_and_in_parts(spark, table, rated, monkeypatch):
     """The tables hold each n-gram of the levels, and parts give the scores of the whole."""
     docs = table([(i, t) for i, t in enumerate([None, "", "vorgula " * 9, prose(random.Random(8), "en", 90)])] + [(3, "vorgixc")])
-    by_level = toxicity.levels(toxicity.gram_counts(rated))
-    whole = toxicity.Model(toxicity._parts(by_level), 1.0, -1.0)
+    letters = toxicity.alphabet(rated)
+    by_level = toxicity.levels(toxicity.gram_counts(rated, letters))
+    whole = toxicity.Model(toxicity._parts(by_level, letters), 1.0, -1.0)
     for k, level in by_level.items():
         rows = level.select("gram", "ratio").toArrow()
         seen, value = toxicity._found(rows["gram"].to_numpy(), whole.parts[0].value.tables["ratio", k])
@@ -156,7 +205,7 @@ def test_every_gram_scores_in_one_table_and_in_parts(spark, table, rated, monkey
     want = sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, whole).collect())
     kept = sorted(map(str, toxicity.drop_toxic(docs, whole).collect()))
     monkeypatch.setattr(toxicity, "PART_ENTRIES", 300)
-    cut = toxicity.Model(toxicity._parts(by_level), 1.0, -1.0)
+    cut = toxicity.Model(toxicity._parts(by_level, letters), 1.0, -1.0)
     assert len(cut.parts) > 3
     assert sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, cut).collect()) == want
     assert sorted(map(str, toxicity.drop_toxic(docs, cut).collect())) == kept
@@ -184,8 +233,8 @@ def test_calibration_rows_are_learned_too(spark, rated, monkeypatch):
     """The n-grams of every labelled row are in the final model, and a sorted table is calibrated."""
     seen = []
     levels = toxicity.levels
-    monkeypatch.setattr(toxicity, "levels", lambda counts: seen.append(counts) or levels(counts))
+    monkeypatch.setattr(toxicity, "levels", lambda counts, n: seen.append(counts) or levels(counts, n))
     model = toxicity.train(rated.orderBy("label").coalesce(1), calibration_rows=20)
     assert model.slope > 0
-    want = sorted(map(tuple, toxicity.gram_counts(rated).collect()))
+    want = sorted(map(tuple, toxicity.gram_counts(rated, toxicity.alphabet(rated)).collect()))
     assert sorted(map(tuple, seen[-1].collect())) == want

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tabsight.llm import simhash
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -147,3 +149,42 @@ def test_extra_columns_do_not_clash(spark, table):
     for name in ("bits", "label", "component_id", "norm", "kept"):
         docs = docs.withColumn(name, F.lit("x"))
     assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [1]
+
+
+def test_of_rows_with_one_id_only_those_of_its_component_stay(table):
+    docs = table([(0, "a b c d"), (1, "q r s t u v"), (1, "a b c d"), (1, "q r s t u v")])
+    clash = docs.withColumns({c: F.lit(7) for c in ("__own", "__id", "__text_hash", "bits", "component_id", "text_hash")})
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, "a b c d"), (1, "q r s t u v")]
+
+
+@pytest.mark.parametrize("node_rows", [5, 40])
+def test_nodes_with_one_long_prefix_are_cut_again(spark, node_rows):
+    """Most fingerprints share their first 40 bits, far below the first frontier."""
+    rng = random.Random(node_rows)
+    keys = {(0xABCDEF1234 << 24) | rng.getrandbits(9) << rng.choice([0, 12]) for _ in range(300)} | {rng.getrandbits(64) for _ in range(100)}
+    keys |= {k ^ (1 << rng.randrange(64)) for k in list(keys)[:60]}
+    signed = [k - (1 << 64) if k >> 63 else k for k in keys]
+    df = spark.createDataFrame([(k,) for k in signed], "bits long")
+    depth = 8
+    nodes = simhash._cut_nodes(df, node_rows, depth)
+    held = [sum(k >> (64 - d) == p for k in keys) for d, p in nodes]
+    assert sum(held) == len(keys) and max(held) <= node_rows
+
+    def root(parent, x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def classes(pairs):
+        parent = {k: k for k in signed}
+        for a, b in pairs:
+            ra, rb = root(parent, a), root(parent, b)
+            parent[max(ra, rb)] = min(ra, rb)
+        return {k: root(parent, k) for k in signed}
+
+    near = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2]
+    got = [(r.a, r.b) for r in simhash.links(df, node_rows=node_rows).collect()]
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in got)
+    assert classes(got) == classes(near)

@@ -17,7 +17,8 @@ def rotl(x, n):
 
 def brute(text, hashes, k=4, w=8):
     """(position, hash) of the chosen k-grams; ``hashes`` maps tokens to XXH64."""
-    tokens = [p for x in re.findall(r"[^ \t\n\x0b\x0c\r]+", text.lower()) for p in re.findall(r"(?s).{1,32}", x)]
+    runs = re.findall(r"[^ \t\n\x0b\x0c\r]+", text.lower())
+    tokens = [p for x in runs for p in ([x] if len(x) <= 32 else [x[i : i + 8] for i in range(len(x))])]
     if not tokens:
         return []
     grams = []
@@ -153,3 +154,11 @@ def test_the_query_finds_shifted_passages(spark, table, tmp_path):
     table([(2, passage), (1, "x" + passage)]).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in op1_fingerprints(spark, str(tmp_path)).collect()}
     assert rows[2].near_next > 0.9
+
+
+def test_very_long_texts_and_runs(table):
+    """A long text of words, and one run without a space, which has a token at each character."""
+    rows = [(1, "lorem ipsum dolor " * 3_000), (2, "x1y2z3" * 700), (3, None)]
+    for row in winnow.fingerprints(table(rows)).collect():
+        got = [(p, h & MASK) for p, h in zip(row.fp_pos, row.fp_hash)]
+        assert got == brute(dict(rows)[row.doc_id] or "", hashed, 4, 8)
