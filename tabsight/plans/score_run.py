@@ -40,6 +40,7 @@ class ScoreResult:
     overlap: DataFrame
     drift: DataFrame
     readiness: DataFrame
+    prevalence: DataFrame | None = None
 
 
 def training_references(model: FittedModel) -> References:
@@ -151,10 +152,20 @@ def score(model: FittedModel, df: DataFrame, refs: References) -> ScoreResult:
     return ScoreResult(
         scored, prediction, names, warnings, status,
         small_table(spark, long_rows, "source string, metric string, value double"),
-        drift_numeric, drift_categorical, overlap, drift, scoring.readiness(values, metric),
+        drift_numeric, drift_categorical, overlap, drift, scoring.readiness(values, metric), _prevalence(model, aligned, target),
     )
 
 
+def _prevalence(model: FittedModel, aligned: DataFrame, target: str) -> DataFrame | None:
+    """Training and external rate of the positive label; none without labels or for other than class targets."""
+    rate = model.baseline_strategy.get("positive_rate")
+    if target not in aligned.columns or model.label is None or rate is None:
+        return None
+    training = small_table(aligned.sparkSession, [(float(rate),)], "training_rate double")
+    spelled = aligned.select(_label_text(aligned, target, model.labels).alias(target))
+    return scoring.prevalence_change(training, spelled, target, model.label)
+
+
 def _predict_beside(model: FittedModel, wide: DataFrame, keep: list[str], features: dict[str, str]) -> DataFrame:
     """Predictions for rows whose feature copies sit beside the untouched columns."""
     carried = {c: f"_k{i}" for i, c in enumerate(keep)}

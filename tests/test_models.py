@@ -74,6 +74,9 @@ def test_scoring_the_training_table_is_not_independent(fitted):
     out = score_run.score(result.model, df, refs)
     assert out.overlap.first()["overlap_rows"] == 400
     assert out.readiness.first()["status"] == "not deployment-ready"
+    change = out.prevalence.first()
+    assert change["training_rate"] == pytest.approx(result.model.baseline_strategy["positive_rate"])
+    assert change["prevalence_change"] == pytest.approx(change["external_rate"] - change["training_rate"])
 
 
 def test_self_drift_is_zero(fitted):
@@ -279,3 +282,36 @@ def test_values_hot_only_when_scoring_meet_their_share(spark, monkeypatch):
     got = {r["c"]: (r["f"], r["n"]) for r in features.frequency_code(scored, F.col("c"), table, "f").groupBy("c", "f").agg(F.count("*").alias("n")).collect()}
     assert {k: round(v[0], 6) for k, v in got.items()} == {"v7": 0.0004, "v8": 0.0004, "new": 0.0}
     assert sum(v[1] for v in got.values()) == 2000
+
+
+def test_best_round_waits_out_the_patience():
+    assert training.best_round([]) == (0, False)
+    falling = [1.0 / i for i in range(1, 31)]
+    assert training.best_round(falling) == (30, False)
+    assert training.best_round([0.9, 0.5, 0.6, 0.4, *[0.45] * 9]) == (4, False)
+    assert training.best_round([0.9, 0.5, 0.6, 0.4, *[0.45] * 10, 0.1]) == (4, True)
+    assert training.best_round([0.5, 0.5 - 1e-9, *[0.5] * 10]) == (1, True)
+
+
+def test_three_classes_are_boosted(spark, monkeypatch):
+    """One model a class against the rest; shares add up to one, and a class that no line separates is found."""
+    df = spark.range(900).select("id", (F.col("id") * 37 % 100).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("noise"))
+    df = df.withColumn("band", F.when(F.col("x").between(30, 60), "mid").when(F.col("x") % 2 == 0, "even").otherwise("odd"))
+    df = df.withColumn("parity", (F.col("x") % 2).cast("double"))
+    model = training.train_model(df, training.TrainingConfig("band", ("id",), boosting_rounds=6))
+    assert model.name == "Gradient Boosting" and len(model.rounds) == 3 and all(1 <= n <= 6 for n in model.rounds)
+    assert model.holdout["f1_macro"] > 0.95
+    assert model.feature_names() == model.features.numeric_outputs()
+    rows = model.predict(df, ["id", "band"]).limit(50).collect()
+    assert all(abs(r["_p0"] + r["_p1"] + r["_p2"] - 1) < 1e-9 for r in rows)
+    assert {(r["model"], r["fold"]): len(r["rounds"]) for r in training.cv_table(spark, model).collect()}[("Gradient Boosting", 0)] == 3
+
+
+def test_input_names_match_the_coefficients(spark):
+    """One-hot inputs name their level; as many names as ridge coefficients."""
+    df = spark.range(400).select("id", (F.col("id") % 11).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "a b").otherwise("c").alias("kind"))
+    df = df.withColumn("y", F.col("x") * 2.0 + F.when(F.col("kind") == "c", 1.5).otherwise(0.0) + F.rand(seed=1) * 0.01)
+    model = training.train_model(df, training.TrainingConfig("y", ("id",), "regression", boosting_rounds=2))
+    assert model.name == "Ridge Regression"
+    names = model.feature_names()
+    assert names == ["x", "kind=a b", "kind=c"] and len(names) == len(model.model.stages[-1].coefficients)
