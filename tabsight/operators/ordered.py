@@ -35,7 +35,15 @@ def exact_quantiles(
             .select(F.lit(n).alias("name"), "x", "n")
             for n in names
         ]
-    ).persist()
+    )
+    return dict(zip(labels, quantiles_of_counts(counts, names, fractions, values_per_task), strict=True))
+
+
+def quantiles_of_counts(
+    counts: DataFrame, names: list[str], fractions: list[float], values_per_task: int = VALUES_PER_TASK
+) -> list[list[float | None]]:
+    """Exact quantiles for each of ``names`` from ``name, x, n``: the distinct values and how often each occurs."""
+    counts = counts.persist()
     sizes = {
         r["name"]: r for r in counts.groupBy("name").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values")).collect()
     }
@@ -45,7 +53,7 @@ def exact_quantiles(
         wanted[n] = sorted({int(p) for p in places} | {min(int(p) + 1, size["rows"] - 1) for p in places})
     if not wanted:
         counts.unpersist()
-        return {k: [None] * len(fractions) for k in labels}
+        return [[None] * len(fractions) for _ in names]
     ranks = F.create_map(*[x for n, w in wanted.items() for x in (F.lit(n), F.array(*[F.lit(i) for i in w]))])
     totals = running_totals(
         counts, "x", ["n"], group=["name"], values_per_task=values_per_task,
@@ -61,10 +69,10 @@ def exact_quantiles(
     found = totals.where(holds).select("name", "x", F.explode(hits).alias("rank")).collect()
     counts.unpersist()
     at = {(r["name"], r["rank"]): r["x"] for r in found}
-    out: dict[str, list[float | None]] = {}
-    for label, n in zip(labels, names, strict=True):
+    out: list[list[float | None]] = []
+    for n in names:
         if n not in sizes:
-            out[label] = [None] * len(fractions)
+            out.append([None] * len(fractions))
             continue
         values = []
         for q in fractions:
@@ -72,7 +80,7 @@ def exact_quantiles(
             low = at[n, int(place)]
             high = at[n, min(int(place) + 1, sizes[n]["rows"] - 1)]
             values.append(low + (place - int(place)) * (high - low))
-        out[label] = values
+        out.append(values)
     return out
 
 

@@ -43,36 +43,52 @@ def integer_like_sql(x: str) -> str:
     return f"(abs({x} - rint({x})) <= 1e-9D + 1e-5D * abs(rint({x})))"
 
 
-def _column_branch(df: DataFrame, position: int, f: T.StructField) -> DataFrame:
-    """All facts of one column from one grouping of that column.
+def _is_text(f: T.StructField) -> bool:
+    return isinstance(f.dataType, T.StringType)
 
-    Values are grouped first (map-side, so repeats cost nothing) and measured once per
-    distinct value, weighted by their count.  Only text longer than a digest is measured
-    row by row, because its key no longer holds the text.
+
+def column_groups(df: DataFrame, f: T.StructField) -> DataFrame:
+    """``k, n`` and what must be measured row by row, one row for each distinct value of a column.
+
+    Text is grouped by itself or, above 32 bytes, by its digest, which no longer holds the text: words, length,
+    number and date of such rows are summed up beside.  ``merged_groups`` adds the groups of further rows.
     """
-    x, kind = ref(f.name), family(f.dataType)
-    if isinstance(f.dataType, T.StringType):
-        long_text = f"octet_length({x}) > 32"
-        groups = (
-            df.selectExpr(
-                f"{digest_sql(x)} AS k",
-                f"CASE WHEN {long_text} THEN {words_sql(x)} END AS w",
-                f"CASE WHEN {long_text} THEN length({x}) END AS l",
-                f"CASE WHEN {long_text} THEN {number_sql(x)} END AS x",
-                f"CASE WHEN {long_text} THEN {datetime_sql(x)} END AS t",
-            )
-            .groupBy("k")
-            .agg(
-                F.expr("count(1) AS n"), F.expr("sum(w) AS w"), F.expr("sum(l) AS l"),
-                F.expr("count(x) AS xn"), F.expr("count(t) AS tn"),
-                F.expr(f"bool_and({integer_like_sql('x')}) AS xi"),
-                F.expr("min(x) AS xlow"), F.expr("max(x) AS xhigh"),
-            )
-            .selectExpr(
-                "*",
-                f"CASE WHEN w IS NULL THEN {number_sql('k')} END AS num",
-                f"CASE WHEN w IS NULL THEN {datetime_sql('k')} END AS day",
-            )
+    x = ref(f.name)
+    if not _is_text(f):
+        return df.selectExpr(f"{x} AS k").groupBy("k").agg(F.expr("count(1) AS n"))
+    long_text = f"octet_length({x}) > 32"
+    return (
+        df.selectExpr(
+            f"{digest_sql(x)} AS k",
+            f"CASE WHEN {long_text} THEN {words_sql(x)} END AS w",
+            f"CASE WHEN {long_text} THEN length({x}) END AS l",
+            f"CASE WHEN {long_text} THEN {number_sql(x)} END AS x",
+            f"CASE WHEN {long_text} THEN {datetime_sql(x)} END AS t",
+        )
+        .groupBy("k")
+        .agg(
+            F.expr("count(1) AS n"), F.expr("sum(w) AS w"), F.expr("sum(l) AS l"),
+            F.expr("count(x) AS xn"), F.expr("count(t) AS tn"),
+            F.expr(f"bool_and({integer_like_sql('x')}) AS xi"),
+            F.expr("min(x) AS xlow"), F.expr("max(x) AS xhigh"),
+        )
+    )
+
+
+def merged_groups(groups: DataFrame, f: T.StructField) -> DataFrame:
+    """The groups of all rows from the groups of their parts."""
+    text = ["sum(w) AS w", "sum(l) AS l", "sum(xn) AS xn", "sum(tn) AS tn", "bool_and(xi) AS xi", "min(xlow) AS xlow", "max(xhigh) AS xhigh"]
+    return groups.groupBy("k").agg(*[F.expr(e) for e in ["sum(n) AS n", *(text if _is_text(f) else [])]])
+
+
+def group_facts(groups: DataFrame, position: int, f: T.StructField) -> DataFrame:
+    """All facts of one column from its groups, each value measured once and weighted by its count."""
+    kind = family(f.dataType)
+    if _is_text(f):
+        groups = groups.selectExpr(
+            "*",
+            f"CASE WHEN w IS NULL THEN {number_sql('k')} END AS num",
+            f"CASE WHEN w IS NULL THEN {datetime_sql('k')} END AS day",
         )
         numbers = "coalesce(sum(CASE WHEN num IS NOT NULL THEN n ELSE xn END), 0)"
         measures = [
@@ -85,7 +101,6 @@ def _column_branch(df: DataFrame, position: int, f: T.StructField) -> DataFrame:
             "max(coalesce(num, xhigh)) AS max_value",
         ]
     else:
-        groups = df.selectExpr(f"{x} AS k").groupBy("k").agg(F.expr("count(1) AS n"))
         number = kind == "numeric"
         measures = [
             *[f"CAST(NULL AS BIGINT) AS {m}" for m in ("numeric_ok", "date_ok", "words", "chars")],
@@ -109,7 +124,7 @@ def grouped_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row of facts per column; a lazy union of column-pruned groupings."""
     wanted = set(names or df.columns)
     return union_all(
-        [_column_branch(df, i, f) for i, f in enumerate(df.schema.fields) if f.name in wanted]
+        [group_facts(column_groups(df, f), i, f) for i, f in enumerate(df.schema.fields) if f.name in wanted]
     )
 
 
@@ -229,17 +244,26 @@ def column_facts(df: DataFrame) -> DataFrame:
     measured = []
     for start in range(0, len(df.columns), COLUMNS_PER_JOB):
         measured += grouped_facts(df, df.columns[start : start + COLUMNS_PER_JOB]).collect()
-    sequential = {
+    whole = sequential(measured)
+    return fact_table(df.sparkSession, measured, gap_facts(df, whole).collect() if whole else [])
+
+
+def sequential(measured: list) -> dict[str, bool]:
+    """Columns whose values may count up, and whether they are whole numbers."""
+    return {
         r["column"]: r["integer_like"] and r["min_value"] == int(r["min_value"])
         for r in measured
         if r["family"] == "numeric" and r["distinct"] > 25 and r["distinct"] > 0.98 * r["non_null"]
     }
-    gaps = {r["column"]: r for r in gap_facts(df, sequential).collect()} if sequential else {}
+
+
+def fact_table(spark, measured: list, gaps: list) -> DataFrame:
+    by_name = {r["column"]: r for r in gaps}
     rows = []
     for r in measured:
-        g = gaps.get(r["column"])
+        g = by_name.get(r["column"])
         rows.append((*r, g["unit_gaps"] if g else 0, g["close_gaps"] if g else 0))
-    return small_table(df.sparkSession, sorted(rows, key=lambda r: r[0]), FACT_SCHEMA)
+    return small_table(spark, sorted(rows, key=lambda r: r[0]), FACT_SCHEMA)
 
 
 def duplicate_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -249,18 +273,29 @@ def duplicate_rows(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     so 16 bytes and a count are shuffled per distinct row instead of the whole row
     (at 10^12 rows the chance of any collision is about 10^-15).
     """
-    names = names or df.columns
-    cells = [col(n) for n in names]
+    return repeats(row_groups(df, names))
+
+
+def row_groups(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``h1, h2, n``: one row for each distinct row."""
+    cells = [col(n) for n in names or df.columns]
     mask = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cells])
     keyed = df.select(
         F.xxhash64(mask, *cells).alias("h1"), F.xxhash64(F.lit(7), mask, *cells).alias("h2")
     )
-    groups = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeats(groups: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def overview(df: DataFrame, facts: DataFrame) -> DataFrame:
     """One row: size, missing cells, duplicates, constants and the emptiest column."""
+    return overview_of(facts, duplicate_rows(df))
+
+
+def overview_of(facts: DataFrame, duplicates: DataFrame) -> DataFrame:
     missing = F.col("rows") - F.col("non_null")
     totals = facts.agg(
         F.max("rows").alias("rows"),
@@ -276,27 +311,39 @@ def overview(df: DataFrame, facts: DataFrame) -> DataFrame:
         F.max(missing).alias("top_missing_count"),
     )
     pct = safe_ratio(F.col("top_missing_count"), F.col("rows")) * 100
-    return beside(totals.withColumn("top_missing_pct", pct), duplicate_rows(df))
+    return beside(totals.withColumn("top_missing_pct", pct), duplicates)
+
+
+LANES = [f"lane{i}" for i in range(4)]
+
+
+def fingerprint_sums(df: DataFrame) -> DataFrame:
+    """One row: the number of rows and four sums over their digests; those of two tables add up to those of both.
+
+    A row is the texts of its cells, each behind its length (missing: a dash), so no two rows spell the same.
+    """
+    texts = [F.hex(col(f.name)) if isinstance(f.dataType, T.BinaryType) else col(f.name).cast("string") for f in df.schema.fields]
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = df.select(F.md5(F.concat(*cells).cast("binary")).alias("h"))
+    lanes = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(10,0)") for i in range(len(LANES))]
+    return digest.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").alias(n) for n, x in zip(LANES, lanes, strict=True)],
+    )
+
+
+def schema_text(df: DataFrame) -> str:
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Content and schema hash, independent of row order and partitioning; one scan."""
-    cells = [col(n) for n in df.columns]
-    mask = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cells])
-    h = F.xxhash64(mask, *cells)
-    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.select(h.alias("h")).agg(
-        F.sha2(
-            F.concat_ws(
-                "|",
-                F.lit(schema),
-                F.count(F.lit(1)).cast("string"),
-                F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("string"),
-                F.coalesce(F.bit_xor("h"), F.lit(0)).cast("string"),
-            ),
-            256,
-        ).alias("fingerprint")
-    )
+    return sealed(fingerprint_sums(df), schema_text(df))
+
+
+def sealed(sums: DataFrame, schema: str) -> DataFrame:
+    parts = [F.lit(schema), *[F.col(c).cast("string") for c in ("rows", *LANES)]]
+    return sums.select(F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"))
 
 
 def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
