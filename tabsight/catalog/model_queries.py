@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..operators import features, leakage, metrics, scoring, split, training
+from ..operators import charts, features, leakage, metrics, scoring, split, training
 from ..operators.clean import coerce_numeric, sanitize
 from ..operators.ordered import exact_quantiles
 from ..plans import evidence, insight_run, model_run, score_run
@@ -369,15 +369,44 @@ def prediction_preview(spark, sf):
 SELECT 'l_extendedprice' AS "column", least(floor((l_extendedprice - lo) / (hi - lo) * 20), 19)::BIGINT AS bucket, l_returnflag AS target, count(*) AS n FROM lineitem, b GROUP BY 2, 3
 UNION ALL SELECT 'l_linestatus', CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END, l_returnflag, count(*) FROM lineitem GROUP BY l_linestatus, l_returnflag""")
 def chart_extracts(spark, sf):
-    from ..operators.charts import histogram, level_counts
-
     df = v.table(spark, sf, "lineitem")
-    levels = level_counts(df, "l_linestatus", "l_returnflag")
-    return histogram(df, "l_extendedprice", "l_returnflag", 20).unionByName(
+    levels = charts.level_counts(df, "l_linestatus", "l_returnflag")
+    return charts.histogram(df, "l_extendedprice", "l_returnflag", 20).unionByName(
         levels.select("column", F.when(F.col("level") == "F", 0).otherwise(1).cast("bigint").alias("bucket"), "target", "n")
     )
 
 
+LINE_NUMBERS = [c for c, _, f in v.LINEITEM if f == "numeric" and c not in ("l_orderkey", "l_extendedprice")]
+
+
+@query("chart_features_lines", f"""WITH r AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, {i} AS place, abs(corr({c}, l_extendedprice)) AS r FROM lineitem" for i, c in enumerate(LINE_NUMBERS))}),
+levels AS (SELECT 'l_returnflag' AS name, 1 AS place, count(DISTINCT l_returnflag) AS d FROM lineitem UNION ALL SELECT 'l_linestatus', 2, count(DISTINCT l_linestatus) FROM lineitem)
+SELECT 'numeric' AS kind, (row_number() OVER (ORDER BY r DESC, place))::INT AS rank, name AS "column", 'correlation' AS basis FROM r QUALIFY rank <= 2
+UNION ALL SELECT 'categorical', (row_number() OVER (ORDER BY place))::INT AS rank, name, 'order' FROM levels WHERE d BETWEEN 2 AND 20 QUALIFY rank <= 2""")
+def chart_features_lines(spark, sf):
+    df, roles = _roles(v.table(spark, sf, "lineitem"))
+    return charts.chart_features(df, roles, "l_extendedprice", "regression", names=[*LINE_NUMBERS, "l_returnflag", "l_linestatus"])
+
+
+# The mean difference between the classes stands for an importance: it needs no model and SQL gives it too.
+@query("chart_features_docs", f"""WITH {DOCS}, w AS (SELECT 'n_chars' AS name, abs(avg(n_chars) FILTER (toxic = 1) - avg(n_chars) FILTER (toxic = 0)) AS x FROM t
+  UNION ALL SELECT 'quality', abs(avg(quality) FILTER (toxic = 1) - avg(quality) FILTER (toxic = 0)) FROM t),
+levels AS (SELECT 'lang' AS name, 1 AS place, count(DISTINCT lang) AS d FROM t UNION ALL SELECT 'source', 2, count(DISTINCT source) FROM t)
+SELECT 'numeric' AS kind, (row_number() OVER (ORDER BY x DESC))::INT AS rank, name AS "column", 'importance' AS basis FROM w
+UNION ALL SELECT 'categorical', (row_number() OVER (ORDER BY place))::INT, name, 'order' FROM levels WHERE d BETWEEN 2 AND 20""")
+def chart_features_docs(spark, sf):
+    df, roles = _roles(v.labeled_docs(spark, sf))
+    apart = lambda c: F.abs(F.avg(F.when(F.col("toxic") == 1, col(c))) - F.avg(F.when(F.col("toxic") == 0, col(c))))
+    weights = df.agg(apart("n_chars").alias("n_chars"), apart("quality").alias("quality")).unpivot([], ["n_chars", "quality"], "feature", "importance")
+    return charts.chart_features(df, roles, "toxic", "classification", weights, ["lang", "source", "n_chars", "quality"])
+
+
+@query("chart_confusion", f"""WITH {SCORED}, labels AS (SELECT DISTINCT quality AS x FROM s)
+SELECT a.x::VARCHAR AS actual, b.x::VARCHAR AS predicted, (SELECT count(*) FROM s WHERE quality = a.x AND pred = b.x) AS n FROM labels a, labels b""")
+def chart_confusion(spark, sf):
+    return charts.confusion_matrix(v.scored_docs(spark, sf), "quality", "pred")
+
+
 # -- training -------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import targets
+from ..operators import charts, targets
 from ..operators.training import FittedModel, TrainingConfig, cv_table, train_model
 from .insight_run import TableProfile, profile_table, run_insights
 
@@ -56,6 +56,21 @@ def run(df: DataFrame, config: TrainingConfig, table: TableProfile | None = None
     return RunResult(mode, decision, evidence, model, cv_table(df.sparkSession, model), notes)
 
 
+def chart_context(result: RunResult, table: TableProfile, importance: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Extracts to draw a trained result: chosen features, their relationships (``feature:<name>``) and the confusion matrix."""
+    m = result.model
+    if m is None:
+        return {}
+    target, key = m.config.target, list(m.config.key)
+    inputs = [c for c in m.features.required if c in table.frame.columns]
+    chosen = charts.chart_features(table.frame, table.roles, target, m.problem_type, importance, inputs)
+    out = {"features": chosen}
+    out |= {f"feature:{c}": x for c, x in charts.relationships(table.frame, chosen, target, m.problem_type, key).items()}
+    if m.problem_type == "classification":
+        out["confusion"] = charts.confusion_matrix(m.predict(m.test, [*key, target]), target, "_prediction")
+    return out
+
+
 def summary(result: RunResult) -> DataFrame:
     """Holdout and baseline metrics of the chosen model in long form."""
     from ..session import small_table
