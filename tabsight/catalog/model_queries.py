@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..operators import charts, features, leakage, metrics, scoring, split, training
-from ..operators.clean import coerce_numeric, sanitize
-from ..operators.ordered import exact_quantiles
+from ..operators.clean import sanitize
 from ..plans import evidence, insight_run, model_run, score_run
 from ..session import beside, small_table
 from . import views as v
@@ -136,14 +135,14 @@ def entity_overlap(spark, sf):
 
 @query("feat_numeric", f"WITH t AS ({v.DIRTY_CUSTOMER_SQL}) SELECT c_custkey, CASE WHEN c_custkey % 50 <> 0 AND c_custkey % 53 <> 0 THEN TRY_CAST(balance_txt AS DOUBLE) END AS balance, c_nationkey::DOUBLE AS nation FROM t")
 def feat_numeric(spark, sf):
-    df = sanitize(v.dirty_customer(spark, sf))
-    number = lambda n: coerce_numeric(n, df.schema[n].dataType)
-    return df.select("c_custkey", number("balance_txt").alias("balance"), number("c_nationkey").alias("nation"))
+    df, model = _Fit.model(spark, sf)
+    return model.raw(sanitize(df), ["c_custkey"]).select("c_custkey", col("balance_txt").alias("balance"), col("c_nationkey").alias("nation"))
 
 
 @query("feat_categorical", f"WITH t AS ({v.CLEAN_CUSTOMER_SQL}) SELECT c_custkey, segment_raw AS segment FROM t")
 def feat_categorical(spark, sf):
-    return sanitize(v.dirty_customer(spark, sf)).select("c_custkey", F.col("segment_raw").cast("string").alias("segment"))
+    df, model = _Fit.model(spark, sf)
+    return model.raw(sanitize(df), ["c_custkey"]).select("c_custkey", col("segment_raw").alias("segment"))
 
 
 @query("feat_date_parts", """SELECT o_orderkey, year(o_orderdate)::DOUBLE AS o_orderdate__year, month(o_orderdate)::DOUBLE AS o_orderdate__month,
@@ -188,14 +187,8 @@ def feat_frequency(spark, sf):
 m AS (SELECT quantile_cont(balance, 0.5) AS med FROM b), k AS (SELECT segment_raw AS top FROM b WHERE segment_raw IS NOT NULL GROUP BY segment_raw ORDER BY count(*) DESC, segment_raw LIMIT 1)
 SELECT c_custkey, round(coalesce(balance, med), 6) AS balance, coalesce(segment_raw, top) AS segment FROM b, m, k""")
 def impute_median_mode(spark, sf):
-    df = sanitize(v.dirty_customer(spark, sf))
-    raw = df.select("c_custkey", coerce_numeric("balance_txt", df.schema["balance_txt"].dataType).alias("balance"), F.col("segment_raw").alias("segment"))
-    median = exact_quantiles(raw, {"balance": F.col("balance")}, [0.5])["balance"][0]
-    counts = raw.where(F.col("segment").isNotNull()).groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
-    mode = F.lit(counts.orderBy(F.desc("n"), "segment").first()["segment"])
-    return raw.select(
-        "c_custkey", F.round(F.coalesce("balance", F.lit(median)), 6).alias("balance"), F.coalesce("segment", mode).alias("segment")
-    )
+    df, model = _Fit.model(spark, sf)
+    return model.imputed(df, ["c_custkey"]).select("c_custkey", F.round("balance_txt", 6).alias("balance"), col("segment_raw").alias("segment"))
 
 
 class _Fit:
