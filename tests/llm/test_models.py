@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tabsight.llm import langid, quality_rules, toxicity
@@ -238,3 +239,86 @@ def test_calibration_rows_are_learned_too(spark, rated, monkeypatch):
     assert model.slope > 0
     want = sorted(map(tuple, toxicity.gram_counts(rated, toxicity.alphabet(rated)).collect()))
     assert sorted(map(tuple, seen[-1].collect())) == want
+
+
+def plain_language(model, text):
+    """Language and score by dictionaries and loops: hashed n-grams, margins, family, votes."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not letters.strip():
+        return "und", 0.0
+    line = " " + regex.sub(" +", " ", letters).lstrip(" ") + " "
+    counts, whole = {}, 1 << 64
+    for order in langid.ORDERS:
+        for i in range(len(line) - order + 1):
+            key = 0
+            for c in line[i : i + order]:
+                key = key * 0x100000001B3 % whole ^ ord(c)
+            slot = (key + order) * 0x9E3779B97F4A7C15 % whole >> 64 - langid.BUCKET_BITS
+            counts[slot] = counts.get(slot, 0) + 1
+    total = sum(counts.values())
+    margin = {
+        m: model.offsets[j] + sum(model.weights[slot, j] * math.sqrt(n / total) for slot, n in counts.items())
+        for j, m in enumerate(model.machines)
+    }
+    sigmoid = lambda x: 1 / (1 + math.exp(-4 * x))
+    families = sorted({langid.family_of(x) for x in model.languages})
+    family = max(families, key=lambda f: margin["family", f, ""])
+    members = sorted(x for x in model.languages if langid.family_of(x) == family)
+
+    def against(x):
+        return [m if x == pair[1] else -m for pair, m in margin.items() if pair[0] == "pair" and x in pair[1:]]
+
+    best = max(members, key=lambda x: (sum(m > 0 for m in against(x)), sum(against(x))))
+    sure = sigmoid(margin["family", family, ""])
+    return best, sure * (sigmoid(min(against(best))) if len(members) > 1 else 1.0)
+
+
+def test_language_matches_plain_votes(table):
+    rng = random.Random(21)
+    ways = {**SYLLABLES, "nl": "ij aa oe ui cht van".split(), "es": "ñ os ción ll que".split(), "it": "gli zz cch io à".split()}
+    text = lambda lang, n: " ".join("".join(rng.choice(ways[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    model = langid.train(table([(i, text(lang, rng.randint(3, 40)), lang, "s") for i, lang in enumerate(list(ways) * 25)]))
+    assert sorted(len(m) for m in model.families.values()) == [1, 3, 3]
+    texts = [text(lang, n) for lang in ways for n in (1, 4, 30)]
+    texts += [text("de", 5) + " 12-3 " + text("es", 5), "", " 7 ", "日本語 abc", "Ü", "a" * 3000]
+    rows = langid.predict(table([(i, t, None, "s") for i, t in enumerate(texts)]), model).collect()
+    assert len({r.lang_pred for r in rows}) == 8
+    for r in rows:
+        name, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == name and abs(r.score - score) < 1e-9
+
+
+def plain_statistics(text):
+    words, lines, n = regex.findall(r"[^ \t-\r]+", text.lower()), text.split("\n"), len(text)
+    w, d = len(words), len(set(words))
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda pattern: len(regex.findall(pattern, text))
+    return {
+        "log_words": math.log1p(w), "word_length": share(n - w, w), "upper": share(count(r"\p{Lu}"), n), "digits": share(count("[0-9]"), n),
+        "symbols": share(count(r"[^\p{L}\p{N} \t-\r.,;:'\"()?!\-]"), n), "stops": share(count("[.?!]"), w), "lines": share(len(lines), w),
+        "distinct_words": share(d, w), "distinct_lines": len(set(lines)) / len(lines), "wide": share(len(text.encode()) - n, n),
+        "marks_after_word": share(count(r"[^\p{L}\p{N} \t-\r.,]{2,}(?=[ \t-\r]|$)"), w), "top_words": (w - d) / (w + 1.0) ** 1.1,
+    }
+
+
+def test_quality_matches_plain_rule_sums(table):
+    """Statistics, rules and scores against loops; nulls, empty and very long texts, repeated ids and no rows too."""
+    rng = random.Random(31)
+    words = ["alpha", "Beta", "GAMMA", "été", "42", "日本", "$$$", "end.", "why?!", "##", "x"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "\t"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    label = [int(t.count("$") + t.count("#") > 0.06 * len(t)) for t in texts]
+    data = table([(i, t, None, "s") for i, t in enumerate(texts)])
+    marks = data.sparkSession.createDataFrame(list(enumerate(label)), "doc_id long, quality int")
+    model = quality_rules.train(quality_rules.labelled(data, marks, "quality"))
+    assert len(model.rules) > 3 and any(len(r.bounds) > 1 for r in model.rules)
+    more = texts[:60] + [None, "", " \n ", "GAMMA## " * 40_000, "é" * 100_000, texts[0]]
+    docs = table([(i % 62, t, None, "s") for i, t in enumerate(more)]).withColumn("score", F.lit("x")).withColumn("s_upper", F.lit(9))
+    want = []
+    for i, t in enumerate(more):
+        found = plain_statistics(t or "")
+        total = model.offset + sum(r.weight for r in model.rules if all(low < found[k] <= high for k, low, high in r.bounds))
+        want.append((i % 62, 1 / (1 + math.exp(-total))))
+    got = sorted(tuple(r) for r in quality_rules.score(docs, model).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], atol=1e-9)
+    assert quality_rules.score(docs.limit(0), model).count() == 0
