@@ -148,3 +148,14 @@ def test_dates_in_text_are_a_date_role(spark):
     assert by["added"]["is_date"] and by["added"]["role"] == "datetime"
     assert not by["other"]["is_date"]
     assert math.isclose(by["added"]["date_ratio"], 1.0)
+
+
+def test_prediction_is_withdrawn_without_an_automatic_target(spark):
+    scored = spark.createDataFrame(
+        [("churned", "recommended", 4.0, ["churn"], "classification"), ("size", "possible", 3.5, [], "regression")],
+        "column string, status string, score double, positive_words array<string>, problem_type string",
+    )
+    for auto in (True, False):
+        row = targets.workflow(scored, spark.createDataFrame([(auto,)], "auto_select boolean")).first()
+        assert row.recommended_workflow == ("prediction" if auto else "insights") and row.withdrawn is not auto
+        assert row.primary_target == "churned" and not row.clear_primary_target
