@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import hold
+
+# Most rows one task may have to hold for an order over all of them.
+VALUES_PER_TASK = 1_000_000
+MAX_RANGES = 20_000
+
 # Coefficients of the Chebyshev-fitted complementary error function (public
 # numerical-analysis formula, relative error about 1e-7), highest power first.
 ERFC_COEFFICIENTS = (
@@ -52,16 +59,49 @@ def wilson_bounds(successes: Column, total: Column, z: float = 1.96) -> tuple[Co
     return F.greatest(F.lit(0.0), center - radius), F.least(F.lit(1.0), center + radius)
 
 
-def adjust_p(rows: DataFrame, p: str = "p_value", out: str = "adjusted_p_value") -> DataFrame:
-    """Benjamini-Hochberg step-up over all given rows.
+def value_ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
+    """``df`` with ``_range``, the place of ``order`` among about ``ranges`` value ranges of even size.
 
-    ``rows`` holds one row per test (a column pair or a feature level), never data
-    rows, so the single ordered window is bounded by the width of the table.
+    The bounds come from a quantile sketch and are plain values, so a recomputed partition always lands in the
+    same range; missing values are a range of their own below all others, as in an ascending order.
     """
-    everything = Window.partitionBy(F.lit(1))
-    ranked = rows.withColumn("_m", F.count(F.lit(1)).over(everything)).withColumn(
-        "_rank", F.row_number().over(everything.orderBy(p))
-    )
-    from_here = everything.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    stepped = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(from_here)
-    return ranked.withColumn(out, F.least(F.lit(1.0), stepped)).drop("_m", "_rank")
+    probs = [i / ranges for i in range(1, ranges)]
+    inner = sorted(set(df.approxQuantile(order, probs, 1.0 / (4 * ranges))))
+    splits = [float("-inf"), *inner, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep").transform(df)
+    return cut.withColumn("_range", F.when(F.col(order).isNull(), F.lit(-1.0)).otherwise(F.col("_range")))
+
+
+def adjust_p(
+    rows: DataFrame, p: str = "p_value", out: str = "adjusted_p_value", size: int | None = None, values_per_task: int = VALUES_PER_TASK
+) -> DataFrame:
+    """Benjamini-Hochberg step-up over all given rows, one row a test.
+
+    Ranks are counted from the smallest value and minima from the largest, so every frame only grows and a
+    row is visited once; equal values share the last of their ranks, which is where their minimum lies.
+    ``size`` is a bound on the number of rows where the caller knows one; otherwise the rows are held and counted.
+    Many rows are cut into value ranges, each with its own windows and what the other ranges add to them.
+    """
+    held = size is None
+    if held:
+        rows = hold(rows)
+        size = rows.count()
+    ranges = min(-(-size // values_per_task), MAX_RANGES)
+    if ranges <= 1:
+        everything = Window.partitionBy(F.lit(1))
+        ranked = rows.withColumn("_m", F.count(F.lit(1)).over(everything)).withColumn(
+            "_rank", F.count(F.lit(1)).over(everything.orderBy(F.asc(p)))
+        )
+        stepped = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(everything.orderBy(F.desc(p)))
+        return ranked.withColumn(out, F.least(F.lit(1.0), stepped)).drop("_m", "_rank")
+    cut = value_ranges(rows if held else hold(rows), p, ranges)
+    place, inside = Window.partitionBy(F.lit(1)), Window.partitionBy("_range")
+    below = place.orderBy(F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    above = place.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_range", F.sum("_n").over(place).alias("_m"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    rank = F.count(F.lit(1)).over(inside.orderBy(F.asc(p))) + F.col("_below")
+    ranked = cut.join(F.broadcast(sizes), "_range").withColumn("_step", F.col(p) * F.col("_m") / rank)
+    lows = ranked.groupBy("_range").agg(F.min("_step").alias("_low")).select("_range", F.min("_low").over(above).alias("_above"))
+    stepped = ranked.join(F.broadcast(lows), "_range").withColumn("_own", F.min("_step").over(inside.orderBy(F.desc(p))))
+    return stepped.withColumn(out, F.least(F.lit(1.0), F.col("_own"), F.col("_above"))).select(*rows.columns, out)

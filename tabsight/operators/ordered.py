@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import MAX_RANGES, VALUES_PER_TASK, value_ranges
 from ..functions.text import col
 from ..session import small_table
 from .profile import union_all
 
-# Most distinct values one task may have to hold for an exact order statistic.
-VALUES_PER_TASK = 1_000_000
-MAX_RANGES = 20_000
-
 
 def exact_quantiles(
     df: DataFrame, columns: dict, fractions: list[float], values_per_task: int = VALUES_PER_TASK
@@ -105,11 +101,7 @@ def running_totals(
         w = Window.partitionBy(*([col(g) for g in group] or [F.lit(1)])).orderBy(direction(order))
         w = w.rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(s).over(w).alias(f"cum_{s}") for s in sums])
-    probs = [i / ranges for i in range(1, ranges)]
-    inner = sorted(set(df.approxQuantile(order, probs, 1.0 / (4 * ranges))))
-    cut = Bucketizer(
-        splits=[float("-inf"), *inner, float("inf")], inputCol=order, outputCol="_range"
-    ).transform(df.withColumn(order, F.col(order).cast("double")))
+    cut = value_ranges(df.withColumn(order, F.col(order).cast("double")), order, ranges)
     part = [*group, "_range"]
     totals = cut.groupBy(*part).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = Window.partitionBy(*([col(g) for g in group] or [F.lit(1)])).orderBy(direction("_range"))
