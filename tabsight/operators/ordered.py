@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import MAX_RANGES, VALUES_PER_TASK, value_ranges
@@ -24,22 +24,52 @@ def exact_quantiles(
     if not labels:
         return {}
     names = [f"q{i}" for i in range(len(labels))]
-    frame = df.select(*[columns[k].alias(n) for n, k in zip(names, labels, strict=True)])
-    counts = union_all(
+    counts = counts_of(df, {n: columns[k] for n, k in zip(names, labels, strict=True)})
+    return dict(zip(labels, quantiles_of_counts(counts, names, fractions, values_per_task), strict=True))
+
+
+def counts_of(df: DataFrame, columns: dict) -> DataFrame:
+    """``name, x, n``: the distinct values of each double Column and how often each occurs; missing ones are left out."""
+    frame = df.select(*[c.alias(n) for n, c in columns.items()])
+    return union_all(
         [
             frame.where(F.col(n).isNotNull()).groupBy(F.col(n).alias("x")).agg(F.count(F.lit(1)).alias("n"))
             .select(F.lit(n).alias("name"), "x", "n")
-            for n in names
+            for n in columns
         ]
     )
-    return dict(zip(labels, quantiles_of_counts(counts, names, fractions, values_per_task), strict=True))
+
+
+def median_and_mad(df: DataFrame, columns: dict, values_per_task: int = VALUES_PER_TASK) -> dict[str, tuple[float | None, float | None]]:
+    """Exact median and median absolute deviation of many expressions, both from one grouping of the rows.
+
+    Rows of the same value have the same distance, so the distances are those of the value counts.
+    """
+    labels = list(columns)
+    names = [f"q{i}" for i in range(len(labels))]
+    counts = fewer_partitions(counts_of(df, {n: columns[k] for n, k in zip(names, labels, strict=True)})).persist()
+    middle = [m for (m,) in quantiles_of_counts(counts, names, [0.5], values_per_task)]
+    known = [F.lit(v) for n, m in zip(names, middle, strict=True) if m is not None for v in (n, m)]
+    if not known:
+        counts.unpersist()
+        return {k: (None, None) for k in labels}
+    away = F.abs(F.col("x") - F.try_element_at(F.create_map(*known), F.col("name")))
+    distances = counts.groupBy("name", away.alias("x")).agg(F.sum("n").alias("n"))
+    mads = [m for (m,) in quantiles_of_counts(distances, names, [0.5], values_per_task)]
+    counts.unpersist()
+    return dict(zip(labels, zip(middle, mads, strict=True), strict=True))
+
+
+def fewer_partitions(counts: DataFrame) -> DataFrame:
+    """A union of many groupings merged to the partitions that one of them would have."""
+    return counts.coalesce(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def quantiles_of_counts(
     counts: DataFrame, names: list[str], fractions: list[float], values_per_task: int = VALUES_PER_TASK
 ) -> list[list[float | None]]:
     """Exact quantiles for each of ``names`` from ``name, x, n``: the distinct values and how often each occurs."""
-    counts = counts.persist()
+    counts = fewer_partitions(counts).persist()
     sizes = {
         r["name"]: r for r in counts.groupBy("name").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values")).collect()
     }
@@ -51,9 +81,11 @@ def quantiles_of_counts(
         counts.unpersist()
         return [[None] * len(fractions) for _ in names]
     ranks = F.create_map(*[x for n, w in wanted.items() for x in (F.lit(n), F.array(*[F.lit(i) for i in w]))])
+    # Value ranges that hold none of the wanted ranks are left out before any row is sorted.
     totals = running_totals(
         counts, "x", ["n"], group=["name"], values_per_task=values_per_task,
         size=sum(r["values"] for r in sizes.values()),
+        needed=F.exists(F.try_element_at(ranks, F.col("name")), lambda i: (i >= F.col("_o_n")) & (i < F.col("_o_n") + F.col("_t_n"))),
     )
     # A plain comparison per wanted rank discards almost every row before the lookup.
     holds = " OR ".join(
@@ -82,14 +114,15 @@ def quantiles_of_counts(
 
 def running_totals(
     df: DataFrame, order: str, sums: list[str], group: list[str] | None = None,
-    descending: bool = False, values_per_task: int = VALUES_PER_TASK, size: int | None = None,
+    descending: bool = False, values_per_task: int = VALUES_PER_TASK, size: int | None = None, needed: Column | None = None,
 ) -> DataFrame:
     """Running sums ``cum_<name>`` over rows already collapsed to distinct ``order`` values.
 
     Small inputs use one window.  Large ones are cut into value ranges taken from a
     quantile sketch; each range keeps its own window and gets the total of the ranges
     before it from a broadcast table of at most one row per range and group.  The ranges
-    are plain value bounds, so a recomputed partition always lands in the same range.
+    are plain value bounds, so a recomputed partition always lands in the same range.  With ``needed``, a
+    condition on a range's total ``_t_<name>`` and the total before it ``_o_<name>``, rows of other ranges may be left out.
     """
     group = group or []
     total = df.count() if size is None else size
@@ -107,8 +140,10 @@ def running_totals(
     earlier = Window.partitionBy(*([col(g) for g in group] or [F.lit(1)])).orderBy(direction("_range"))
     earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *part, *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums]
+        *part, *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums], *[f"_t_{s}" for s in sums]
     )
+    if needed is not None:
+        offsets = offsets.where(needed)
     inside = Window.partitionBy(*part).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     joined = cut.join(F.broadcast(offsets), part)
     return joined.select(

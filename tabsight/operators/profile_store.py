@@ -18,6 +18,7 @@ raises when read.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ from .clean import family, sanitize
 from .ordered import quantiles_of_counts
 from .profile import LANES, union_all
 
+# Folders of a batch that are written side by side.
+WRITERS = 4
 BATCHES = "batch string, schema string, fields string, rows bigint, " + ", ".join(f"{x} decimal(38,0)" for x in LANES)
 
 
@@ -64,9 +67,11 @@ class ProfileStore:
             raise ValueError(f"the store holds columns {known[0].schema}, the batch {schema}")
         if any(r.batch == batch for r in known):
             return batch
-        for i, f in enumerate(frame.schema.fields):
-            profile.column_groups(frame, f).write.mode("overwrite").parquet(f"{self.path}/values/c{i}/batch={batch}")
-        profile.row_groups(frame).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
+        groups = {f"values/c{i}": profile.column_groups(frame, f) for i, f in enumerate(frame.schema.fields)}
+        groups["rows"] = profile.row_groups(frame)
+        # The next folder's tasks fill the cores that the last tasks of one leave free.
+        with ThreadPoolExecutor(max_workers=WRITERS) as pool:
+            list(pool.map(lambda part: groups[part].write.mode("overwrite").parquet(f"{self.path}/{part}/batch={batch}"), groups))
         entry = small.select(F.lit(schema).alias("schema"), F.lit(frame.schema.json()).alias("fields"), "rows", *LANES)
         entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch}")
         return batch

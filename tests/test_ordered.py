@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsight.functions.stats import adjust_p
 from tabsight.operators import leakage, metrics
-from tabsight.operators.ordered import exact_quantiles, running_totals
+from tabsight.operators.ordered import exact_quantiles, median_and_mad, running_totals
 
 
 def test_quantiles_equal_numpy_with_and_without_ranges(spark):
@@ -99,3 +99,22 @@ def test_adjusted_p_of_many_rows_is_the_step_up_at_any_size(spark):
     many = spark.range(100_000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e9).alias("p_value"))
     assert adjust_p(many).where("adjusted_p_value BETWEEN 0 AND 1").count() == 100_000
     assert time.monotonic() - start < 60
+
+
+def test_ranges_without_a_wanted_rank_are_left_out(spark):
+    df = spark.range(1000).select(F.lit("q0").alias("name"), F.col("id").cast("double").alias("x"), F.lit(1).alias("n"))
+    holds = (F.col("_o_n") <= 500) & (F.col("_o_n") + F.col("_t_n") > 500)
+    rows = running_totals(df, "x", ["n"], ["name"], values_per_task=100, needed=holds).collect()
+    assert len(rows) < 400 and [r.cum_n for r in rows if r.x == 500.0] == [501]
+
+
+def test_median_and_mad_come_from_one_grouping(spark):
+    rng = random.Random(8)
+    xs = [round(rng.gauss(3, 2), 2) for _ in range(500)]
+    df = spark.createDataFrame([(x, x if i % 4 else None) for i, x in enumerate(xs)], "x double, y double")
+    for limit in (1_000_000, 40):
+        got = median_and_mad(df, {"x": F.col("x"), "y": F.col("y"), "none": F.lit(None).cast("double")}, limit)
+        for name, values in (("x", xs), ("y", [x for i, x in enumerate(xs) if i % 4])):
+            middle = np.median(values)
+            assert np.allclose(got[name], (middle, np.median(np.abs(np.array(values) - middle))))
+        assert got["none"] == (None, None)

@@ -70,3 +70,18 @@ def test_fingerprints_tell_cells_apart(spark):
         for row in [("1:x", "y"), ("1", ":xy"), (None, "-"), ("-", None), ("", None), (None, ""), ("x", "y"), ("y", "x")]
     ]
     assert len(set(seen)) == len(seen)
+
+
+def test_fingerprint_sums_are_those_of_the_digests(spark):
+    """Lanes are added as whole numbers; the sums are the four parts of each row's MD5."""
+    import hashlib
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"v{i}") for i in range(50)], "k long, s string")
+    want = [0, 0, 0, 0]
+    for r in df.collect():
+        text = "".join("-" if x is None else f"{len(str(x))}:{x}" for x in r)
+        digest = hashlib.md5(text.encode()).hexdigest()
+        want = [w + int(digest[8 * i : 8 * i + 8], 16) for i, w in enumerate(want)]
+    sums = profile.fingerprint_sums(df)
+    assert [int(x) for x in sums.first()] == [50, *want] and set(dict(sums.dtypes[1:]).values()) == {"decimal(38,0)"}
+    assert [int(x) for x in profile.fingerprint_sums(df.limit(0)).first()] == [0] * 5
