@@ -315,3 +315,80 @@ def test_input_names_match_the_coefficients(spark):
     assert model.name == "Ridge Regression"
     names = model.feature_names()
     assert names == ["x", "kind=a b", "kind=c"] and len(names) == len(model.model.stages[-1].coefficients)
+
+
+def _prepared(spark, n):
+    """Rows as the features leave them: two inputs of few values and one of 1,000."""
+    k = F.col("id")
+    rows = spark.range(n).select(
+        (k % 3).cast("double").alias("num:a"), (k * 7919 % 5).cast("double").alias("num:b"), (k * 37 % 1000 / 10.0).alias("num:x"),
+        (F.pmod(F.xxhash64(k), F.lit(10)) == 0).alias("_late"), (F.pmod(F.xxhash64(k, F.lit(1)), F.lit(100)) / 100.0).alias("u"),
+    )
+    return rows.withColumn("v", F.col("num:a") * 2 + F.col("num:b") + (F.col("num:x") > 40).cast("double") + F.col("u"))
+
+
+def _fit(monkeypatch, booster, prepared, names, rounds):
+    seen = []
+    plain = type(booster).fit
+
+    def watched(self, frame, params=None):
+        seen.append(frame)
+        return plain(self, frame, params)
+
+    monkeypatch.setattr(type(booster), "fit", watched)
+    learned = features.Learned(specs=[features.Spec(n, "numeric", [n], [True]) for n in names])
+    model, reached = training.fit_candidate(features.RawFeaturesModel(learned, {}), "ordinal", [booster], prepared, rounds)
+    return model, reached, seen
+
+
+def test_boosted_regression_reads_cells(spark, monkeypatch):
+    """Its many passes follow the number of cells, every row counts, and the model is that of the rows."""
+    prepared = _prepared(spark, 24_000).withColumn("_y", F.col("v")).persist()
+    booster = training.GBTRegressor(labelCol="_y", featuresCol="_x", maxIter=4, maxDepth=4, stepSize=0.3, seed=42)
+    model, _, (frame,) = _fit(monkeypatch, booster, prepared, ["a", "b"], [4])
+    assert frame.count() == 30 and frame.agg(F.sum("_n")).first()[0] == 24_000
+    rows = training.VectorAssembler(inputCols=["num:a", "num:b"], outputCol="_x").transform(prepared)
+    by_rows = {(r["num:a"], r["num:b"]): r["prediction"] for r in booster.fit(rows).transform(rows).select("num:a", "num:b", "prediction").distinct().collect()}
+    by_cells = {(r["num:a"], r["num:b"]): r["prediction"] for r in model.transform(prepared).select("num:a", "num:b", "prediction").distinct().collect()}
+    assert len(by_rows) == 15 and by_cells == pytest.approx(by_rows, rel=1e-9)
+    wide, _, (frame,) = _fit(monkeypatch, booster, prepared, ["a", "b", "x"], [4])
+    assert frame.count() <= 3 * 5 * training.BINS * 2 and frame.agg(F.sum("_n")).first()[0] == 24_000
+    rmse = wide.transform(prepared).agg(F.sqrt(F.avg((F.col("prediction") - F.col("v")) ** 2))).first()[0]
+    assert rmse < model.transform(prepared).agg(F.sqrt(F.avg((F.col("prediction") - F.col("v")) ** 2))).first()[0] - 0.05
+
+
+def test_boosted_classes_are_judged_by_weight(spark, monkeypatch):
+    """Rounds are chosen on the set-aside rows: the losses of their cells are those of the rows."""
+    prepared = _prepared(spark, 24_000).withColumn("_y", (F.col("v") > 5).cast("double")).persist()
+    booster = training.GBTClassifier(labelCol="_y", featuresCol="_x", maxIter=6, maxDepth=4, stepSize=0.3, seed=42)
+    model, reached, seen = _fit(monkeypatch, booster, prepared, ["a", "b", "x"], None)
+    assert 1 <= reached[0] <= 6 and all(f.count() <= 3 * 5 * training.BINS * 4 for f in seen)
+    last, rows = model.stages[-1], prepared.where("_late").withColumn("_n", F.lit(1.0))
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    cells = seen[-1].where("_late")
+    assert cells.count() < rows.count()
+    assert last.evaluateEachIteration(cells) == pytest.approx(last.evaluateEachIteration(rows), rel=1e-9)
+
+
+def test_few_rows_are_boosted_as_they_are(spark, monkeypatch):
+    prepared = _prepared(spark, 600).withColumn("_y", F.col("v")).persist()
+    booster = training.GBTRegressor(labelCol="_y", featuresCol="_x", maxIter=2, maxDepth=4, seed=42)
+    _, _, (frame,) = _fit(monkeypatch, booster, prepared, ["a", "b", "x"], [2])
+    assert frame.count() == 600 and "_n" not in frame.columns
+
+
+def test_bin_edges_leave_heavy_values_their_own_bin(spark):
+    k = F.col("id")
+    df = spark.range(20_000).select(
+        F.when(k % 10 < 9, 0.0).otherwise(k / 100.0 - 100).alias("num:a.b"), (k % 32).cast("double").alias("few"), k.cast("double").alias("even"),
+    )
+    edges = training.bin_edges(df, ["num:a.b", "few", "even"])
+    assert set(edges) == {"num:a.b", "even"} and all(len(e) < training.BINS for e in edges.values())
+    binned = df.select(F.expr(training._bin_sql("`num:a.b`", edges["num:a.b"])).alias("b"), (F.col("`num:a.b`") == 0).alias("zero"))
+    sizes = {(r["b"], r["zero"]): r["count"] for r in binned.groupBy("b", "zero").count().collect()}
+    zero = [b for b, z in sizes if z]
+    assert len(zero) == 1 and (zero[0], False) not in sizes
+    assert len(sizes) >= 28 and max(n for (_, z), n in sizes.items() if not z) < 200
+    shares = [r["count"] for r in df.groupBy(F.expr(training._bin_sql("even", edges["even"]))).count().collect()]
+    assert len(shares) == 32 and max(shares) < 20_000 / 32 + 60
