@@ -43,8 +43,9 @@ def clean_value(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return F.expr(clean_text_sql(ref(name)))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        # NaN is not below infinity either.  Cleaned columns are cleaned again and filters repeat the whole nest, so each mention counts.
         x = ref(name)
-        return F.expr(f"CASE WHEN NOT isnan({x}) AND abs({x}) < double('infinity') THEN {x} END")
+        return F.expr(f"CASE WHEN abs({x}) < double('infinity') THEN {x} END")
     if isinstance(dtype, T.DecimalType):
         return col(name).cast("double")
     return col(name)

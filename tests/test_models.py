@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsight.operators import features, leakage, scoring, split, training
-from tabsight.operators.clean import sanitize
+from tabsight.operators.clean import sanitize, target_rows
 from tabsight.operators.profile import column_facts
 from tabsight.operators.roles import with_roles
 from tabsight.plans import evidence, model_run, score_run
@@ -392,3 +392,22 @@ def test_bin_edges_leave_heavy_values_their_own_bin(spark):
     assert len(sizes) >= 28 and max(n for (_, z), n in sizes.items() if not z) < 200
     shares = [r["count"] for r in df.groupBy(F.expr(training._bin_sql("even", edges["even"]))).count().collect()]
     assert len(shares) == 32 and max(shares) < 20_000 / 32 + 60
+
+
+def test_training_rows_of_one_partition_are_spread(spark):
+    """Missing and repeated keys are no reason to stay together; a small table stays as it is."""
+    df = spark.range(300_000).coalesce(1).select(F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("k"), F.rand(1).alias("x"))
+    sizes = [r["count"] for r in training._spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 2 and max(sizes) < 200_000 and sum(sizes) == 300_000
+    few = df.limit(500)
+    assert training._spread(few) is few
+
+
+def test_repeated_cleaning_stays_short(spark):
+    """A target cleaned five times, as training does, is not a condition of hundreds of terms."""
+    rows = spark.range(8).select(F.expr("element_at(array(1.5D, double('nan'), double('infinity'), double('-infinity'), -0.0D, null, 7.0D, -2.5D), int(id) + 1)").alias("x"))
+    for _ in range(5):
+        rows = target_rows(rows, "x")
+    assert sorted(r["x"] for r in rows.collect()) == [-2.5, 0.0, 1.5, 7.0]
+    plan = rows.select("x")._jdf.queryExecution().analyzed().toString()
+    assert "isnan" not in plan
